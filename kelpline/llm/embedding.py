@@ -191,7 +191,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
     member = vectors.select("id", "v").mapInArrow(nearest(2), f"cluster int, id long, v {kind}")
     parts = {r.cluster: -(-r.n // shard_rows) for r in member.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row per cluster
     split = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)])
-    shard = F.struct("cluster", F.pmod(F.xxhash64("id"), split[F.col("cluster")]).cast("int").alias("part"))
     member = written(member.select("cluster", F.pmod(F.xxhash64("id"), split[F.col("cluster")]).cast("int").alias("part"), "id", "v"), "members")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +244,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
         recall = truth.join(pairs, ["a", "b"], "left_semi").count() / known if known else 1.0
         if recall >= target or shards >= len(centroids):
             break
-    return written(pairs.union(truth).distinct(), "pairs") if known else pairs, recall
+    return pairs, recall
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:

@@ -17,7 +17,6 @@ an empty table gives an empty result; null ids count as training rows and stay n
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ from kelpline.llm.common import slices
 
 TRAIN_DOCS, WINDOW, WINDOWS_PER_DOC, EPOCHS, BATCH = 1500, 24, 12, 3, 256
 BUCKETS, CHAIN, MEMORY = 1 << 17, 256, 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,7 +38,7 @@ def words_of(text: str | None) -> list[str]:
 
 @functools.lru_cache(maxsize=MEMORY)
 def _word(run: str) -> str:
-    return run if run.isalpha() else "".join(_LETTERS.findall(run))
+    return run if run.isalpha() else "".join(filter(str.isalpha, run))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,9 +6,10 @@ bins are full. Rounds t to 2t - 1 place every element in bin i - t, so each coor
 equal coordinates estimates the Jaccard similarity with concentration bounds, in O(n + t log t) time.
 
 Candidates: bands of ``rows`` coordinates. Equal sets are one class, found by a digest of the whole set, and enter the
-bands once. Each band bucket is linked as a star around a pivot that the band's own hash picks; after these links are
-verified on the full sets and joined to components, only pairs of a bucket that still lie in different components and
-have sizes that can reach the threshold are verified, so a bucket of near copies gives no quadratic pair list.
+bands once. Each band bucket is linked as a star around the member that shares most buckets with others; these links are
+verified on the full sets and joined to components. Documents of buckets that still hold several components are then
+compared across components by an exact prefix and position filter over their rarest shingles, which gives the pairs
+that can still reach the threshold and verifies them, so a bucket of near copies gives no quadratic pair list.
 
 Edge cases: null and empty texts, or texts of white space only, have the empty set, zero shingles, and are linked with
 nothing; fewer words than ``words`` make one shingle of the whole sequence; very long texts take time in proportion;
@@ -126,6 +127,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (id, n, c) in different components c that can still reach the threshold; no pair that
+    reaches it is left out.
+
+    Elements are ordered by how many of these documents hold them, rare ones first. Two sets with a large enough
+    intersection share an element among the first n - ceil(n * percent / 100) + 1 of either, and what comes after the
+    first shared one bounds the intersection. An element that one document alone holds only moves the places of the
+    others. For each element the most frequent component is not compared with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "s"):
+            elements = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(elements)), list(map(len, elements))))), pa.array(np.concatenate(elements))], ["id", "e"])
+
+    held = sets.join(docs.select("id"), "id", "left_semi").mapInArrow(run, "id long, e long")
+    often = held.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    kept = held.join(often, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("known"))
+    first = docs.join(kept, "id").withColumn("alone", F.col("n") - F.size("known"))
+    width = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - alone as int)")
+    first = first.where(width > 0).select("id", "n", "c", "alone", F.posexplode(F.slice("known", F.lit(1), width)).alias("at", "x"))
+    first = written(first.select("id", "n", "c", (F.col("alone") + F.col("at")).alias("at"), F.col("x.e").alias("e")), "prefixes")
+    by_class = first.groupBy("e", "c").agg(F.count("*").alias("k"))
+    main = by_class.groupBy("e").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("classes")).where("classes > 1").select("e", F.col("x.c").alias("main"))
+    first = written(first.join(main, "e"), "prefixes")
+    left = first.where("c <> main").select("e", *[F.col(k).alias(f"{k}1") for k in ("id", "n", "c", "at")])
+    right = first.select("e", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "c", "at")], (F.col("c") != F.col("main")).alias("minor"))
+    reach = f"{100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)"
+    found = left.join(right, "e").where("c1 <> c2 and (not minor or id1 < id2)").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {reach}")
+    return found.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of ``docs``; linked are texts with a Jaccard similarity of at
     least ``percent`` / 100 over ``words``-word shingles. With 30 bands of 7 rows a pair at 0.85 is missed by all bands
@@ -134,28 +166,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = written(_sketched(docs, words, bands, rows), "sketched")
     classes = written(sketched.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("key", "x.*"), "classes")
     buckets = classes.select("id", "n", F.posexplode("bands").alias("band", "hash"))
-    pick = F.struct(F.xxhash64("id", "band").alias("order"), "id", "n")
-    pivots = written(buckets.groupBy("band", "hash").agg(F.min(pick).alias("x"), F.count("*").alias("size")).where("size > 1").select("band", "hash", F.col("x.id").alias("pivot"), F.col("x.n").alias("pivot_n")), "pivots")
-    shared = written(buckets.join(pivots, ["band", "hash"]), "shared")
+    sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(buckets.join(sizes, ["band", "hash"]), "shared")
+    # the member that stands in the most and largest buckets is nearest to the others; all buckets take it, so pairs repeat
+    degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
+    pick = F.struct("degree", (-F.col("id")).alias("order"), "id", "n")
+    pivots = written(shared.join(degree, "id").groupBy("band", "hash").agg(F.max(pick).alias("x")).select("band", "hash", F.col("x.id").alias("pivot"), F.col("x.n").alias("pivot_n")), "pivots")
     sized = lambda p, q: f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})"
-    stars = written(shared.where("id <> pivot").where(sized("n", "pivot_n")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
-    wanted = shared.select("id").distinct()
+    stars = shared.join(pivots, ["band", "hash"]).where("id <> pivot").where(sized("n", "pivot_n"))
+    stars = written(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["id", "s"])
 
     # the texts of candidates only
-    sets = written(docs.join(wanted, "id", "left_semi").mapInArrow(run, "id long, s binary"), "sets")
+    sets = written(docs.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "sets")
     links = written(_verified(stars, sets, percent), "verified")
     found = components(links)
-    placed = written(shared.select("band", "hash", "id", "n").join(found, F.col("id") == F.col("node"), "left").select("band", "hash", "id", "n", F.coalesce("component", "id").alias("c")), "placed")
-    # what the stars left open: buckets with several components; their pairs across components
+    placed = shared.select("band", "hash", "id", "n").join(found, F.col("id") == F.col("node"), "left").select("band", "hash", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = written(placed, "placed")
+    # what the stars left open: buckets with several components
     mixed = placed.groupBy("band", "hash").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "hash")
-    open_rows = written(placed.join(mixed, ["band", "hash"]), "open")
-    left, right = open_rows.select("band", "hash", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), open_rows.select("band", "hash", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.join(right, ["band", "hash"]).where("a < b and ca <> cb").where(sized("na", "nb")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
+    left_open = written(placed.join(mixed, ["band", "hash"]).select("id", "n", "c").distinct(), "open")
+    rest = written(_prefix_pairs(left_open, sets, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = written(links.union(_verified(rest, sets, percent)), "verified")
         found = components(links)

@@ -132,7 +132,7 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(by_id[i].n_links == 0 and by_id[i].component_id == i and by_id[i].kept for i in range(9001, 9007))
     want = components_by_force([(i, frozenset()) for i in range(1)], 1)
     assert want == {0: 0}
-    assert got[0].audit_recall >= 0.9
+    assert got[0].audit_recall >= 0.97
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding.near_duplicate_vectors(empty).count() == 0
 
@@ -164,7 +164,7 @@ def test_license_base_equals_brute_force(spark, documents, source):
 def test_license_suppression_and_rule_count(spark):
     assert len(licenses.signatures()) >= 200
     row = licenses.scan(frame(spark, [(1, "Licensed under the Apache License, Version 2.0")])).collect()[0]
-    assert [(d.label, d.first, d.last, d.priority) for d in row.detections] == [("apache-2", 0, 6, 80)]
+    assert [(d.label, d.first, d.last, d.priority) for d in row.detections] == [("apache-2", 0, 7, 80)]  # eight words
 
 
 def rules_force(text):
