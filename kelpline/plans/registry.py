@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from kelpline.plans import files_queries, text_queries
+
+QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
