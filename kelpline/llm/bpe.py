@@ -4,8 +4,8 @@ A BPE encoding has two properties that make a trie useful: every prefix of a wor
 sequence is the encoding of its text exactly when each pair of neighbours is *compatible* (merging their joined
 text gives the pair back). So the encoding of a prefix is known from its **last token** alone: it is the one token
 that ends the prefix and is compatible with the last token of the prefix before it. The distinct words of a slice of
-texts form a trie; a depth-first walk hands the last-token states from a node to its children, and the encoding of a
-prefix that many words share is computed once. Sorted words visit the nodes of their trie in depth-first order, so
+texts form a trie; a depth-first walk hands the last-token states from a node to its children (with the state of a
+matcher that lists the tokens ending there), and the encoding of a prefix that many words share is computed once. Sorted words visit the nodes of their trie in depth-first order, so
 only the states of the path from the root to the current node are held.
 
 Edge cases: a null text counts as empty and has no tokens; an empty text decodes to an empty text; very long texts
@@ -16,6 +16,7 @@ result; only the id and text columns are read, so other columns may have any nam
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -28,14 +29,23 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import slices
 
-#: Entries of a worker's word and pair memories; a full one is emptied, which costs time and changes no result.
+#: Entries of a worker's memories; a full one is emptied but for what is used just then, which changes no result.
 MEMORY = 400_000
 
 #: Above this the plain path below does not know a character's class; such texts go through the library's own splitter.
 _ODD = re.compile("[\x1c-\x1fİ]|[^\x00-ɏ‐-‧€]")
+_END = 511  # stands for the word end; the byte-level alphabet ends before it
 _SPACE = re.compile("[\t-\r \x85\xa0]+")
 
 
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
+    return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+
+
 def _plain_class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
@@ -66,7 +76,6 @@ class WordBpe:
         for string, number in [*self.vocab.items(), *self.special.items()]:
             self.strings[number] = string
         self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(size)]
-        self.longest = max(map(len, self.vocab))
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -75,6 +84,7 @@ class WordBpe:
             a, b = self.vocab[left], self.vocab[right]
             self.rank.setdefault(a << 20 | b, rank)
             self.parts.setdefault(whole, (a, b, rank))
+        self._build_matcher()
         self.right_edges: dict[int, list[tuple[int, int]]] = {}
         self.left_edges: dict[int, list[tuple[int, int]]] = {}
         self.pairs: dict[int, bool] = {}
@@ -118,13 +128,51 @@ class WordBpe:
             self.pairs[key] = known
         return known
 
+    def _build_matcher(self) -> None:
+        """Which tokens end at a node of a word trie: the states of an Aho-Corasick matcher of all tokens, longest first. The
+        word end counts as one more character, and a token without merges is no result unless it is one character."""
+        self.next: dict[int, int] = {}
+        children: list[list[tuple[int, int]]] = [[]]
+        own = [-1]
+        for string, token in self.vocab.items():
+            ends = bool(self.suffix) and string.endswith(self.suffix)
+            text = string.removesuffix(self.suffix) if ends else string
+            if not text or len(text) > 1 and token not in self.parts or ord(max(text)) >= _END:
+                continue
+            state = 0
+            for c in [*map(ord, text), *([_END] if ends else [])]:
+                key = state << 9 | c
+                if key not in self.next:
+                    self.next[key] = len(own)
+                    children[state].append((c, len(own)))
+                    children.append([])
+                    own.append(-1)
+                state = self.next[key]
+            own[state] = token
+        self.fail, depth = [0] * len(own), [0] * len(own)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        queue = [0]
+        for state in queue:
+            for c, child in children[state]:
+                depth[child] = depth[state] + 1
+                back = self.fail[state]
+                while back and back << 9 | c not in self.next:
+                    back = self.fail[back]
+                self.fail[child] = self.next.get(back << 9 | c, 0) if state else 0
+                queue.append(child)
+            if own[state] >= 0:
+                self.ending[state] = ((depth[state], own[state]), *self.ending[self.fail[state]])
+            else:
+                self.ending[state] = self.ending[self.fail[state]]
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of distinct non-empty words in the byte-level alphabet."""
-        vocab, pairs, compatible, suffix, longest = self.vocab, self.pairs, self.compatible, self.suffix, self.longest
+        pairs, compatible, step, fail, ending = self.pairs, self.compatible, self.next, self.fail, self.ending
         out: dict[str, bytes] = {}
         packed = self.packed.__getitem__
-        tokens, starts = [-1], [0]  # of the prefix of each length on the current path: its last token, where that begins
-        before = ""
+        # of the prefix of each length on the current path: its last token, where that begins, and the matcher's state
+        tokens, starts, states = [-1], [0], [0]
+        before, marked = "", bool(self.suffix)
         for word in sorted(words):
             n, shared = len(word), 0
             for a, b in zip(word[: n - 1], before, strict=False):
@@ -132,22 +180,31 @@ class WordBpe:
                     break
                 shared += 1
             shared = min(shared, len(tokens) - 1)
-            del tokens[shared + 1 :], starts[shared + 1 :]
+            del tokens[shared + 1 :], starts[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for depth in range(shared + 1, n + 1):
-                text = word + suffix if depth == n else word
-                stop = n + len(suffix) if depth == n else depth
-                for start in range(max(0, depth - longest), depth):
-                    token = vocab.get(text[start:stop])
-                    if token is not None:
-                        if start == 0:
-                            break
-                        fits = pairs.get(tokens[start] << 20 | token)
-                        if fits or fits is None and compatible(tokens[start], token):
-                            break
+                c = ord(word[depth - 1])
+                while (key := state << 9 | c) not in step:
+                    state = fail[state]
+                state = step[key]
+                base = depth
+                if depth == n and marked:
+                    while (key := state << 9 | _END) not in step:
+                        state = fail[state]
+                    state = step[key]
+                    base = depth + 1
+                for length, token in ending[state]:
+                    start = base - length
+                    if start == 0:
+                        break
+                    fits = pairs.get(tokens[start] << 20 | token)
+                    if fits or fits is None and compatible(tokens[start], token):
+                        break
                 else:
                     raise ValueError(f"no token ends {word[:depth]!r}")
                 tokens.append(token)
                 starts.append(start)
+                states.append(state)
             ids, at = [], n
             while at:
                 ids.append(tokens[at])
@@ -156,6 +213,7 @@ class WordBpe:
             out[word] = b"".join(map(packed, ids))
             tokens.pop()  # the last node carries the word end: a child of the path, and never shared
             starts.pop()
+            states.pop()
             before = word
         return out
 
@@ -172,9 +230,6 @@ class WordBpe:
         plans: list[list[int | list[str]]] = []
         odd: set[str] = set()
         fresh: set[str] = set()
-        if len(self.chunks) > MEMORY or len(self.words) > MEMORY:
-            self.chunks.clear()
-            self.words.clear()
         chunks, words = self.chunks, self.words
         for text in texts:
             plan: list[int | list[str]] = []
@@ -185,7 +240,7 @@ class WordBpe:
                 piece = (text or "")[at:start]
                 at = end
                 if piece:
-                    if not _ODD.search(piece):
+                    if _plain(piece):
                         parts = _SPACE.split(piece.lower()) if "\x85" in piece or "\xa0" in piece else piece.lower().split()
                         fresh.update(parts)
                     else:
@@ -194,6 +249,11 @@ class WordBpe:
                     plan.append(parts)
                 if token >= 0:
                     plan.append(token)
+        if len(chunks) > MEMORY or len(words) > MEMORY:  # what this slice has in common with those before stays
+            kept = {x: chunks[x] for x in itertools.chain(fresh, odd) if x in chunks}
+            chunks.clear()
+            words.clear()
+            chunks.update(kept)
         fresh = {x for x in fresh if x not in chunks}
         fresh.discard("")
         odd = {x for x in odd if x not in chunks}

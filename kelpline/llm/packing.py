@@ -67,8 +67,11 @@ class Bins:
 
     def improve(self, rounds: int = 8) -> None:
         """Local search between underfull bins. Each accepted step raises the sum of squared fills, so it ends; the weakest
-        bins are drained first."""
+        bins are drained first. It ends as well when no fewer bins could hold the lengths."""
+        least = -(-sum(self.lengths) // self.size)
         for _ in range(rounds):
+            if sum(map(bool, self.items)) <= least:
+                break
             under = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.size), key=lambda b: self.fill[b])
             if len(under) < 2 or not any([self._drain(b, under) for b in under[: max(1, len(under) // 2)]]):
                 break
