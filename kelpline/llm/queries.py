@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import bpe, chat, embedding, language, licenses, minhash, packing, quality, rules, sharding
 from kelpline.llm.common import table
+from kelpline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer() -> str:
@@ -88,4 +89,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 from kelpline.llm import bpe, chat, components, embedding, language, licenses, minhash, packing, quality, rules, sharding
-from kelpline.llm.queries import QUERIES, tokenizer
+from kelpline.llm.queries import ORACLE_SQL, QUERIES, tokenizer
+from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "doc_id long, text string, id string, row int, v double, key string"
@@ -344,3 +345,8 @@ def test_local_search_empties_bins():
     assert sorted(i for b in found for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= 4096 for b in found)
     assert len(found) == -(-sum(lengths) // 4096)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    assert compare(QUERIES[name](spark, SF), ORACLE_SQL[name], SF) == ""
