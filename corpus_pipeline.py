@@ -18,6 +18,8 @@ from kelpline.llm.queries import language_model, quality_model, tokenizer
 
 #: A document whose best language holds less than this share of its words is rejected, as is one without a letter.
 LANGUAGE_SHARE = 0.5
+#: Words that the encoder remembers in a worker, fewer than alone: here executors also keep the heap of shuffles before it.
+ENCODER_MEMORY = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer())
+    return packing.pack_documents(docs, tokenizer(), memory=ENCODER_MEMORY)
 
 
 STAGES = [

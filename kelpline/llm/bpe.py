@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices
+from kelpline.llm.common import slices, turn_of
 
 #: Entries of a worker's memories; a full one is emptied but for what is used just then, which changes no result.
 MEMORY = 700_000
@@ -61,11 +61,12 @@ def _byte_table() -> dict[int, str]:
 class WordBpe:
     """Encoder and decoder of one tokenizers JSON file with a word-end suffix and a byte-level alphabet."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.memory = memory
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -124,7 +125,7 @@ class WordBpe:
                         break
                 if not known:
                     break
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= 4 * self.memory:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -259,7 +260,7 @@ class WordBpe:
                     plan.append(parts)
                 if token >= 0:
                     plan.append(token)
-        if len(chunks) > MEMORY or len(words) > MEMORY:  # what this slice has in common with those before stays
+        if len(chunks) > self.memory or len(words) > self.memory:  # what this slice has in common with those before stays
             kept = {x: chunks[x] for x in itertools.chain(fresh, odd) if x in chunks}
             chunks.clear()
             words.clear()
@@ -284,10 +285,15 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, numbers))
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
-    """One encoder for each Python worker."""
-    return WordBpe(path)
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str, memory: int) -> WordBpe:
+    return WordBpe(path, memory)
+
+
+def encoder(path: str, memory: int = MEMORY) -> WordBpe:
+    """One encoder for each Python worker; it is released when a task of another operator begins there."""
+    turn_of("bpe", _loaded.cache_clear)
+    return _loaded(path, memory)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,14 +39,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of at most SLICE_BYTES of the column ``text``."""
+_held: dict[str, Callable[[], object]] = {}
+
+
+def turn_of(operator: str, release: Callable[[], object] = lambda: None) -> None:
+    """Called in a worker when a task of ``operator`` begins. Spark uses Python workers again for other stages, so what they
+    remember belongs to one operator at a time: the memories of the others are released and given back to the system."""
+    others = [name for name in _held if name != operator]
+    for name in others:
+        _held.pop(name)()
+    _held[operator] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most ``most`` bytes of the column ``text``."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for row, size in enumerate(sizes):
-            if row > start and total + size > SLICE_BYTES:
+            if row > start and total + size > most:
                 yield batch.slice(start, row - start)
                 start, total = row, 0
             total += int(size)

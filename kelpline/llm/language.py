@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices
+from kelpline.llm.common import slices, turn_of
 
 TRAIN_DOCS, WINDOW, WINDOWS_PER_DOC, EPOCHS, BATCH = 1500, 24, 12, 3, 256
 BUCKETS, CHAIN, MEMORY = 1 << 17, 256, 300_000
@@ -208,8 +208,9 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("language", _word.cache_clear)
         memory: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 21):  # each word of a slice takes some arrays of labels
             found = predict_texts(model, batch.column(1).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices, written
+from kelpline.llm.common import slices, turn_of, written
 from kelpline.llm.components import components
 
 BANDS, ROWS = 30, 7
@@ -99,6 +99,7 @@ def band_keys(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("minhash", _word_hashes.cache_clear)
         for batch in slices(batches, "text"):
             n, key, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -177,6 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = written(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("minhash", _word_hashes.cache_clear)
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["id", "s"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices
+from kelpline.llm.common import slices, turn_of
 
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 6, 10, 48
 CHUNK, OVERLAP, GROUP, EMBED, FILTERS = 512, 64, 4, 4, 24
@@ -150,6 +150,7 @@ def predict(docs: DataFrame, net: Net, text_col: str = "text", threshold: float
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("quality")
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(batch.column(1).to_pylist()), pa.float64())], ["row", "score"])
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kelpline.llm import bpe, chat, components, embedding, language, licenses, minhash, packing, quality, rules, sharding
+from kelpline.llm import bpe, chat, common, components, embedding, language, licenses, minhash, packing, quality, rules, sharding
 from kelpline.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 from tests.oracle import compare
 
@@ -59,6 +59,25 @@ def test_bpe_equals_the_library(spark, documents, source):
     assert sorted(r.text for r in back.collect()) == sorted(x[3] for x in want)
 
 
+def test_encoder_with_a_small_memory_gives_the_same_ids():
+    texts = [f"word{i} shared text é{i % 7}" for i in range(300)]
+    small, large = bpe.WordBpe(tokenizer(), memory=20), bpe.WordBpe(tokenizer())
+    assert [small.encode(texts[i : i + 10]) for i in range(0, 300, 10)] == [large.encode(texts[i : i + 10]) for i in range(0, 300, 10)]
+    assert len(small.chunks) < 100 < len(large.chunks)
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    released = []
+    common.turn_of("one", lambda: released.append("one"))
+    common.turn_of("one", lambda: released.append("one"))
+    assert released == []
+    common.turn_of("two", lambda: released.append("two"))
+    common.turn_of("two", lambda: released.append("two"))
+    assert released == ["one"]
+    common.turn_of("one")
+    assert released == ["one", "two"]
+
+
 def components_by_force(sets, percent):
     parent = {i: i for i, _ in sets}
 
