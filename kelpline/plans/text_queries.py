@@ -178,10 +178,10 @@ def children_lists(spark, sf_dir):
     return memory.children(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), table(spark, sf_dir, "supplier"), "id", "s_nationkey", "s_name")
 
 
-@query("""with t as (select conv_id, cast(turn // 2 as int) as minute, turn, case when role = 'assistant' then 'other' when role = 'user' then 'self' end as speaker, text from conversations where text is not null and trim(text) <> '' and not contains(text, '[BLANK_AUDIO]'))
+@query("""with t as (select conv_id, cast(turn // 2 % 1440 as int) as minute, turn, case when role = 'assistant' then 'other' when role = 'user' then 'self' end as speaker, text from conversations where text is not null and trim(text) <> '' and not contains(text, '[BLANK_AUDIO]'))
 select conv_id, minute, sha256(coalesce(string_agg(text, ' ' order by turn) filter (where speaker is distinct from 'other'), '')) as human, sha256(coalesce(string_agg(text, ' ' order by turn) filter (where speaker = 'other'), '')) as computer from t group by 1, 2""")
 def minute_transcript(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn < 2880").select("conv_id", F.timestamp_seconds(F.col("turn") * 30).alias("start_time"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "other").when(F.col("role") == "user", "self").alias("speaker"), "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.timestamp_seconds(F.col("turn") * 30).alias("start_time"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "other").when(F.col("role") == "user", "self").alias("speaker"), "text")
     return memory.by_minute(rows, ["conv_id"]).select("conv_id", "minute", F.sha2("human", 256).alias("human"), F.sha2("computer", 256).alias("computer"))
 
 
