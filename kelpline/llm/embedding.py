@@ -4,13 +4,16 @@
    clusters, so shards overlap; a shard above ``shard_rows`` is dealt into several by a hash, so no task gets an
    unbounded group.
 2. Each shard builds a flat graph: neighbours come from the nearest vectors and some random ones, cut by robust pruning
-   (a candidate goes if a kept one is closer to it, by the factor alpha, than the node is).
+   (a candidate goes if a kept one is closer to it, by the factor alpha, than the node is). A node that no path from the
+   medoid reaches gets an edge from its nearest neighbour that is reached, beyond the cap of degrees.
 3. The adjacency lists of all shards are united per vector.
-4. Every vector is a query in its nearest shards: a greedy search walks from the shard's medoid, then the range expands
-   over all neighbours of hits until no new hit comes. Cosines are computed in double precision on the way, so a pair is
+4. Every vector is a query in its nearest shards: a greedy search walks from the shard's medoid and from the query's own
+   node, then the range expands over all neighbours of hits until no new hit comes. Cosines are computed in double precision on the way, so a pair is
    emitted only if it is verified.
-5. An audit compares a bounded sample of queries with brute force over all vectors; while its recall is below
-   ``target``, the search is repeated with more shards and wider beams.
+5. An audit compares a sample of queries with brute force over all vectors; while its recall is below ``target``, the
+   search is repeated with more shards and wider beams. The last beam is as wide as a shard and visits every node of it,
+   so with all shards nothing can be missed. The sample grows until ``AUDIT_LINKED`` of its queries have true pairs or it
+   holds ``AUDIT_MOST`` queries. Without a true pair there is no recall (null), and the effort ``UNMEASURED`` holds.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors
 whose length is not the most frequent one of the sample; repeated rows with one id count as separate vectors of one
@@ -33,10 +36,11 @@ from kelpline.llm.common import written
 from kelpline.llm.components import components
 
 SAMPLE_ROWS = 8192  # for centroids
-AUDIT_ROWS = 200
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST = 200, 50, 12_800
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 40, 12, 1.2
 #: (nearest shards searched, beam width), the first that passes the audit holds
-EFFORTS = ((4, 32), (8, 64), (24, 128), (1 << 30, 256))
+EFFORTS = ((4, 32), (8, 64), (24, 128), (1 << 30, 256), (1 << 30, 1 << 30))
+UNMEASURED = EFFORTS[2]  # the last one whose cost is in proportion to the vectors
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -67,6 +71,20 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def medoid_of(x: np.ndarray) -> int:
+    return int((x @ x.mean(0)).argmax())
+
+
+def _reached(lists: list[np.ndarray], start: int, seen: np.ndarray) -> None:
+    """Mark in ``seen`` every node that a path from ``start`` reaches."""
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        near = np.unique(np.concatenate([lists[i] for i in front.tolist()]))
+        front = near[~seen[near]]
+        seen[front] = True
+
+
 def build_graph(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     """Robust-pruned out-neighbours of each unit vector, with some of the edges' reverses."""
     m = len(x)
@@ -102,18 +120,33 @@ def build_graph(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         for j in js.tolist():
             if len(back[j]) < DEGREE:
                 back[j].append(i)
-    return [np.unique(np.concatenate([a, np.array(b, np.int64)])) for a, b in zip(out, back, strict=True)]
-
-
-def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, node number) of all hits that a greedy search with range expansion finds."""
+    lists = [np.unique(np.concatenate([a, np.array(b, np.int64)])) for a, b in zip(out, back, strict=True)]
+    seen, sizes = np.zeros(m, bool), np.array([len(js) for js in lists])
+    _reached(lists, medoid_of(x), seen)
+    while not seen.all():  # every round joins at least one node
+        node, known = int(seen.argmin()), np.flatnonzero(seen & (sizes < 4 * DEGREE))
+        at = int(known[(x[known] @ x[node]).argmax()])
+        lists[at] = np.append(lists[at], node)
+        sizes[at] += 1
+        _reached(lists, node, seen)
+    return lists
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, node number) of all hits that a greedy search with range expansion finds; ``own`` is a query's own
+    node or -1."""
     n, width = len(x), max([1, *map(len, lists)])
     adj = np.full((n, width), -1, np.int64)
     for i, js in enumerate(lists):
         adj[i, : len(js)] = js
     found_q, found_v = [], []
     for lo in range(0, len(q), 256):
-        part = q[lo : lo + 256]
+        part, mine = q[lo : lo + 256], own[lo : lo + 256]
+        if beam >= n:  # such a beam drops nothing and every node is reachable, so all are visited
+            hit_q, hit_v = np.nonzero(part @ x.T >= threshold)
+            found_q.append(hit_q + lo)
+            found_v.append(hit_v)
+            continue
         size, at = len(part), np.arange(len(part))
         seen = np.zeros((size, n), bool)
         seen[:, medoid] = True
@@ -123,6 +156,12 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndar
         sims[:, 0] = part @ x[medoid]
         todo = sims > -5
         hit_q, hit_v = [at[sims[:, 0] >= threshold]], [np.full((sims[:, 0] >= threshold).sum(), medoid)]
+        who = at[(mine >= 0) & (mine != medoid)]
+        what = mine[who]
+        seen[who, what] = True
+        pool[who, 1], sims[who, 1], todo[who, 1] = what, np.einsum("nd,nd->n", part[who], x[what]), True
+        hit_q.append(who)
+        hit_v.append(what)
         while todo.any():
             best = np.where(todo, sims, -9).argmax(1)
             live = todo[at, best]
@@ -160,8 +199,8 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndar
     return np.concatenate(found_q or none), np.concatenate(found_v or none)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096, cluster_rows: int = 1000, target: float = 0.97) -> tuple[DataFrame, float]:
-    """Pairs (a, b), a < b, of rows of ``vectors`` (id, v; distinct finite non-zero vectors) with cosine >= threshold, and the audited recall."""
+def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096, cluster_rows: int = 1000, target: float = 0.97) -> tuple[DataFrame, float | None]:
+    """Pairs (a, b), a < b, of rows of ``vectors`` (id, v; distinct finite non-zero vectors) with cosine >= threshold, and the audited recall (None without a true pair)."""
     spark = vectors.sparkSession
     total = vectors.count()
     empty = spark.createDataFrame([], "a long, b long")
@@ -169,7 +208,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
     if not sample:
         sample = [r.v for r in vectors.select("v").limit(SAMPLE_ROWS).collect()]
     if total < 2:
-        return empty, 1.0
+        return empty, None
     d = Counter(map(len, sample)).most_common(1)[0][0]
     vectors = vectors.where(F.size("v") == d)
     kind = vectors.schema["v"].dataType.simpleString()
@@ -194,6 +233,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
     member = written(member.select("cluster", F.pmod(F.xxhash64("id"), split[F.col("cluster")]).cast("int").alias("part"), "id", "v"), "members")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")  # as the search has them, so both know one medoid
         ids = pdf["id"].to_numpy()
         lists = build_graph(unit(np.stack(pdf["v"])), int(key[0]))
         return pd.DataFrame({"id": ids, "near": [ids[x] for x in lists]})
@@ -216,33 +256,47 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
                 near = np.asarray(near, np.int64)
                 at = np.minimum(np.searchsorted(x_ids, near), len(x_ids) - 1)
                 lists.append(at[x_ids[at] == near])  # neighbours that other shards alone hold are searched there
-            medoid = int((x @ x.mean(0)).argmax())
-            q, v = range_search(x, lists, medoid, vs[asks], threshold, beam)
+            own = np.minimum(np.searchsorted(x_ids, q_ids), len(x_ids) - 1)
+            own = np.where(x_ids[own] == q_ids, own, -1)
+            q, v = range_search(x, lists, medoid_of(x), vs[asks], own, threshold, beam)
             a, b = q_ids[q], x_ids[v]
             other = a != b
             return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]}).drop_duplicates()
 
         return run
 
-    audit = [(r.id, r.v) for r in _sampled(vectors, total, AUDIT_ROWS, 2).collect()]
-    audit_ids, audit_x = np.array([i for i, _ in audit], np.int64), unit(np.array([v for _, v in audit], np.float64)) if audit else None
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            q, v = np.nonzero(audit_x @ _matrix(batch.column(1)).T >= threshold)
-            a, b = audit_ids[q], ids[v]
-            other = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], ["a", "b"])
+    def audited(rows: int) -> tuple[DataFrame, int, int]:
+        """True pairs of about ``rows`` queries, how many they are and how many of the queries have some."""
+        audit = [(r.id, r.v) for r in _sampled(vectors, total, rows, 2).collect()]
+        if not audit:
+            return empty, 0, 0
+        audit_ids, audit_x = np.array([i for i, _ in audit], np.int64), unit(np.array([v for _, v in audit], np.float64))
 
-    truth = written(vectors.select("id", "v").mapInArrow(brute, "a long, b long").distinct(), "audit") if audit else empty
-    known = truth.count()
+        def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
+                    ids = part.column(0).to_numpy()
+                    q, v = np.nonzero(audit_x @ _matrix(part.column(1)).T >= threshold)
+                    a, b = audit_ids[q], ids[v]
+                    other = a != b
+                    yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], ["q", "v"])
+
+        both = written(vectors.select("id", "v").mapInArrow(brute, "q long, v long"), "audit")
+        truth = both.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b")).distinct()
+        return truth, truth.count(), both.select("q").distinct().count()
+
+    rows = AUDIT_ROWS
+    truth, known, linked = audited(rows)
+    while linked < AUDIT_LINKED and rows < min(total, AUDIT_MOST):
+        rows *= 4
+        truth, known, linked = audited(rows)
     for shards, beam in EFFORTS:
         asks = vectors.select("id", "v").mapInArrow(nearest(shards), f"cluster int, id long, v {kind}")
         asks = asks.select("cluster", F.explode(F.sequence(F.lit(0), split[F.col("cluster")].cast("int") - 1)).alias("part"), "id", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("asks"))
         pairs = written(nodes.unionByName(asks).groupBy("cluster", "part").applyInPandas(search(beam), "a long, b long").distinct(), "pairs")
-        recall = truth.join(pairs, ["a", "b"], "left_semi").count() / known if known else 1.0
-        if recall >= target or shards >= len(centroids):
+        recall = truth.join(pairs, ["a", "b"], "left_semi").count() / known if known else None
+        if recall >= target if known else (shards, beam) == UNMEASURED or rows >= total:
             break
     return pairs, recall
 
@@ -260,5 +314,5 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     known = classes.join(degree, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
     known = written(known.select("v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "known")
     out = rows.join(known, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(float(recall)))
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall).cast("double"))
     return out.withColumnRenamed("id", id_col)

@@ -157,6 +157,40 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding.near_duplicate_vectors(empty).count() == 0
 
 
+def test_embedding_effort_rises_on_recall_alone(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    x = np.concatenate([x, x[:50] + 0.02 * rng.normal(size=(50, 8))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    names = []
+    real = embedding.written
+    monkeypatch.setattr(embedding, "written", lambda df, name: names.append(name) or real(df, name))
+    embedding.similar_pairs(vectors.selectExpr("id", "v", "1L as copies"), 0.9, target=2.0)
+    assert names.count("pairs") == len(embedding.EFFORTS)  # one cluster, and yet every beam is tried
+
+
+def test_embedding_audit_measures_rare_links(spark):
+    x = np.random.default_rng(3).normal(size=(2500, 24))
+    x[2499] = 2 * x[0] + 0.001
+    for n, links, recall in ((2500, 2, 1.0), (2499, 0, None)):
+        got = embedding.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id long, embedding array<double>")).collect()
+        assert sum(r.n_links for r in got) == links and {r.audit_recall for r in got} == {recall}
+
+
+def test_embedding_graph_reaches_every_node():
+    rng = np.random.default_rng(4)
+    hub = rng.normal(size=(1, 8)) + 1e-3 * rng.normal(size=(300, 8))
+    x = embedding.unit(np.concatenate([hub, rng.normal(size=(60, 8)), -hub[:90]]))
+    lists = embedding.build_graph(x)
+    seen, front = set(), [embedding.medoid_of(x)]
+    while front:
+        seen.update(front)
+        front = list({j for i in front for j in lists[i].tolist()} - seen)
+    assert len(seen) == len(x)
+    q, v = embedding.range_search(x, [np.zeros(0, np.int64)] * len(x), 0, x[-1:], np.array([len(x) - 1]), 0.9, 32)
+    assert (len(x) - 1) in v.tolist()  # without an edge, the own node is still known
+
+
 def license_force(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
