@@ -1,15 +1,17 @@
 """Operator 3: near-duplicate embeddings by a robust-pruned flat graph.
 
 1. Equal vectors are one class. Centroids are fitted on a bounded sample; every class vector joins its two nearest
-   clusters, so shards overlap; a shard above ``shard_rows`` is dealt into several by a hash, so no task gets an
-   unbounded group.
+   clusters, so shards overlap; a shard above ``shard_rows`` is dealt into several by a hash, and its queries into
+   blocks of ``block_rows``, so no task gets an unbounded group.
 2. Each shard builds a flat graph: neighbours come from the nearest vectors and some random ones, cut by robust pruning
    (a candidate goes if a kept one is closer to it, by the factor alpha, than the node is). A node that no path from the
    medoid reaches gets an edge from its nearest neighbour that is reached, beyond the cap of degrees.
 3. The adjacency lists of all shards are united per vector.
 4. Every vector is a query in its nearest shards: a greedy search walks from the shard's medoid and from the query's own
-   node, then the range expands over all neighbours of hits until no new hit comes. Cosines are computed in double precision on the way, so a pair is
-   emitted only if it is verified.
+   node, then the range expands over all neighbours of hits until no new hit comes. Cosines are computed in double
+   precision on the way, so only verified pairs count. A task hands on the number of each query's hits and a forest that
+   joins what they join, not the pairs. A hit counts where its own nearest cluster is, or in its second one if the query
+   is not sent to the first, so none counts twice.
 5. An audit compares a sample of queries with brute force over all vectors; while its recall is below ``target``, the
    search is repeated with more shards and wider beams. The last beam is as wide as a shard and visits every node of it,
    so with all shards nothing can be missed. The sample grows until ``AUDIT_LINKED`` of its queries have true pairs or it
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import written
@@ -132,20 +134,18 @@ def build_graph(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     return lists
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, node number) of all hits that a greedy search with range expansion finds; ``own`` is a query's own
+def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query numbers, node numbers), some 256 queries at a time, of all hits that a greedy search with range expansion finds; ``own`` is a query's own
     node or -1."""
     n, width = len(x), max([1, *map(len, lists)])
     adj = np.full((n, width), -1, np.int64)
     for i, js in enumerate(lists):
         adj[i, : len(js)] = js
-    found_q, found_v = [], []
     for lo in range(0, len(q), 256):
         part, mine = q[lo : lo + 256], own[lo : lo + 256]
         if beam >= n:  # such a beam drops nothing and every node is reachable, so all are visited
             hit_q, hit_v = np.nonzero(part @ x.T >= threshold)
-            found_q.append(hit_q + lo)
-            found_v.append(hit_v)
+            yield hit_q + lo, hit_v
             continue
         size, at = len(part), np.arange(len(part))
         seen = np.zeros((size, n), bool)
@@ -178,6 +178,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndar
             all_s, all_p, all_t = np.concatenate([sims, new], 1), np.concatenate([pool, nodes], 1), np.concatenate([todo, fresh], 1)
             top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
             sims, pool, todo = (np.take_along_axis(z, top, 1) for z in (all_s, all_p, all_t))
+        found_q, found_v = [], []
         front_q, front_v = np.concatenate(hit_q), np.concatenate(hit_v)
         while len(front_q):  # the range expands over every neighbour of a hit
             found_q.append(front_q + lo)
@@ -195,42 +196,79 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndar
                 next_q.append(who[near])
                 next_v.append(what[near])
             front_q, front_v = np.concatenate(next_q), np.concatenate(next_v)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(found_q or none), np.concatenate(found_v or none)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096, cluster_rows: int = 1000, target: float = 0.97) -> tuple[DataFrame, float | None]:
-    """Pairs (a, b), a < b, of rows of ``vectors`` (id, v; distinct finite non-zero vectors) with cosine >= threshold, and the audited recall (None without a true pair)."""
+        if found_q:
+            yield np.concatenate(found_q), np.concatenate(found_v)
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest node of each node's set) after the links a-b."""
+    while (label[a] != label[b]).any():
+        root_a, root_b = label[a], label[b]
+        least = np.minimum(root_a, root_b)
+        np.minimum.at(label, root_a, least)
+        np.minimum.at(label, root_b, least)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def similar_links(vectors: DataFrame, threshold: float, shard_rows: int = 4096, block_rows: int = 8192, cluster_rows: int = 1000, target: float = 0.97) -> tuple[DataFrame, DataFrame, float | None]:
+    """Of ``vectors`` (id, v, copies; distinct finite non-zero vectors): (id, hits, copies) of those with others at
+    cosine >= threshold, hits counting vectors and copies their copies; links (a, b) whose components are those of the
+    pairs; the audited recall (None without a true pair)."""
     spark = vectors.sparkSession
     total = vectors.count()
-    empty = spark.createDataFrame([], "a long, b long")
     sample = [r.v for r in _sampled(vectors, total, SAMPLE_ROWS, 1).select("v").collect()]
     if not sample:
         sample = [r.v for r in vectors.select("v").limit(SAMPLE_ROWS).collect()]
     if total < 2:
-        return empty, None
+        return spark.createDataFrame([], "id long, hits long, copies long"), spark.createDataFrame([], "a long, b long"), None
     d = Counter(map(len, sample)).most_common(1)[0][0]
-    vectors = vectors.where(F.size("v") == d)
+    vectors = vectors.where(F.size("v") == d).select("id", "v", "copies")
     kind = vectors.schema["v"].dataType.simpleString()
     k = max(1, min(4096, -(-total // cluster_rows)))
     centroids = fit_centroids(unit(np.array([v for v in sample if len(v) == d])), k)
+    columns = f"cluster int, id long, v {kind}, copies long, clusters array<int>"
+
+    def orders(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Slices of the batches and each row's nearest clusters."""
+        most = min(shards, len(centroids))
+        step = max(1, min(1000, 24_000 // most))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                yield part, np.argsort(-(_matrix(part.column(1)) @ centroids.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+
+    def nearest(shards: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, order in orders(batches, shards):
+                most = order.shape[1]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), most))
+                named = order[:, : 1 if most == len(centroids) else most]  # who is sent to all clusters needs no names
+                ends = np.arange(0, named.size + 1, named.shape[1], dtype=np.int32)
+                clusters = pa.ListArray.from_arrays(pa.array(ends), pa.array(named.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel()), *[c.take(rows) for c in (*part.columns, clusters)]], ["cluster", "id", "v", "copies", "clusters"])
 
-    def nearest(shards: int, start: int = 0):
+        return run
+
+    def counted(shards: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    part = batch.slice(lo, 1000)
-                    most = min(shards, len(centroids))
-                    order = np.argsort(-(_matrix(part.column(1)) @ centroids.T), axis=1, kind="stable")[:, :most]
-                    rows = np.repeat(np.arange(part.num_rows), most)
-                    yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], ["cluster", "id", "v"])
+            n = np.zeros(len(centroids), np.int64)
+            for _, order in orders(batches, shards):
+                n += np.bincount(order.ravel(), minlength=len(n))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["cluster", "n"])
 
         return run
 
-    member = vectors.select("id", "v").mapInArrow(nearest(2), f"cluster int, id long, v {kind}")
-    parts = {r.cluster: -(-r.n // shard_rows) for r in member.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row per cluster
-    split = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)])
-    member = written(member.select("cluster", F.pmod(F.xxhash64("id"), split[F.col("cluster")]).cast("int").alias("part"), "id", "v"), "members")
+    def dealt(shards: int, most: int) -> Column:
+        """Into how many pieces of at most about ``most`` rows the rows sent to a cluster are dealt."""
+        sizes = vectors.mapInArrow(counted(shards), "cluster int, n long").groupBy("cluster").agg(F.sum("n").alias("n")).collect()  # a row per cluster
+        return F.create_map(*[F.lit(x) for r in sizes for x in (r.cluster, -(-r.n // most))])[F.col("cluster")]
+
+    parts = dealt(2, shard_rows)
+    member = vectors.mapInArrow(nearest(2), columns)
+    member = written(member.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")), "members")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")  # as the search has them, so both know one medoid
@@ -238,19 +276,23 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
         lists = build_graph(unit(np.stack(pdf["v"])), int(key[0]))
         return pd.DataFrame({"id": ids, "near": [ids[x] for x in lists]})
 
-    graph = member.groupBy("cluster", "part").applyInPandas(build, "id long, near array<long>")
+    graph = member.select("cluster", "part", "id", "v").groupBy("cluster", "part").applyInPandas(build, "id long, near array<long>")
     graph = written(graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    nodes = written(member.join(graph, "id").select("cluster", "part", "id", "v", "near", F.lit(False).alias("asks")), "nodes")
+    nodes = written(member.join(graph, "id").select("cluster", "part", "id", "v", "copies", "clusters", "near", F.lit(False).alias("asks")), "nodes")
 
-    def search(beam: int):
+    def search(shards: int, beam: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            asks = pdf["asks"].to_numpy(bool)
+            cluster, asks = int(pdf["cluster"].iloc[0]), pdf["asks"].to_numpy(bool)
             x_ids, q_ids = pdf["id"].to_numpy()[~asks], pdf["id"].to_numpy()[asks]
             if not len(x_ids) or not len(q_ids):
-                return pd.DataFrame({"a": [], "b": []}).astype("int64")
+                return pd.DataFrame({"id": [], "near": [], "hits": [], "copies": []}).astype("int64")
             vs = unit(np.stack(pdf["v"]))
             order = np.argsort(x_ids)
             x_ids, x = x_ids[order], vs[~asks][order]
+            copies = pdf["copies"].to_numpy()[~asks][order]
+            first = np.array([c[0] for c in pdf["clusters"][~asks]], np.int64)[order]
+            sent = [np.asarray(c, np.int64) for c in pdf["clusters"][asks]]
+            sent = np.repeat(np.arange(len(sent)), [len(c) for c in sent]) * len(centroids) + np.concatenate(sent)
             lists = []
             for near in pdf["near"][~asks].to_numpy()[order]:
                 near = np.asarray(near, np.int64)
@@ -258,33 +300,44 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
                 lists.append(at[x_ids[at] == near])  # neighbours that other shards alone hold are searched there
             own = np.minimum(np.searchsorted(x_ids, q_ids), len(x_ids) - 1)
             own = np.where(x_ids[own] == q_ids, own, -1)
-            q, v = range_search(x, lists, medoid_of(x), vs[asks], own, threshold, beam)
-            a, b = q_ids[q], x_ids[v]
-            other = a != b
-            return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]}).drop_duplicates()
+            ids = np.union1d(x_ids, q_ids)
+            x_at, q_at, label = np.searchsorted(ids, x_ids), np.searchsorted(ids, q_ids), np.arange(len(ids))
+            hits, linked = np.zeros(len(q_ids), np.int64), np.zeros(len(q_ids), np.int64)
+            for q, v in range_search(x, lists, medoid_of(x), vs[asks], own, threshold, beam):
+                other = q_ids[q] != x_ids[v]
+                q, v = q[other], v[other]
+                label = joined(label, q_at[q], x_at[v])
+                here = first[v] == cluster
+                if shards < len(centroids):
+                    here[~here] = ~np.isin(q[~here] * len(centroids) + first[v[~here]], sent)
+                q, v = q[here], v[here]
+                hits += np.bincount(q, minlength=len(hits))
+                np.add.at(linked, q, copies[v])
+            some, moved = hits > 0, label != np.arange(len(ids))
+            zero = np.zeros(moved.sum(), np.int64)
+            return pd.DataFrame({"id": np.append(q_ids[some], ids[moved]), "near": np.append(q_ids[some], ids[label[moved]]), "hits": np.append(hits[some], zero), "copies": np.append(linked[some], zero)})
 
         return run
 
     def audited(rows: int) -> tuple[DataFrame, int, int]:
-        """True pairs of about ``rows`` queries, how many they are and how many of the queries have some."""
+        """(id, n true pairs) of about ``rows`` queries that have some, the sum and the number of these."""
         audit = [(r.id, r.v) for r in _sampled(vectors, total, rows, 2).collect()]
         if not audit:
-            return empty, 0, 0
+            return spark.createDataFrame([], "id long, n long"), 0, 0
         audit_ids, audit_x = np.array([i for i, _ in audit], np.int64), unit(np.array([v for _, v in audit], np.float64))
 
         def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(audit_ids), np.int64)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 500):
                     part = batch.slice(lo, 500)
-                    ids = part.column(0).to_numpy()
                     q, v = np.nonzero(audit_x @ _matrix(part.column(1)).T >= threshold)
-                    a, b = audit_ids[q], ids[v]
-                    other = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], ["q", "v"])
+                    n += np.bincount(q[audit_ids[q] != part.column(0).to_numpy()[v]], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(audit_ids[n > 0]), pa.array(n[n > 0])], ["id", "n"])
 
-        both = written(vectors.select("id", "v").mapInArrow(brute, "q long, v long"), "audit")
-        truth = both.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b")).distinct()
-        return truth, truth.count(), both.select("q").distinct().count()
+        truth = written(vectors.mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "audit")
+        row = truth.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("known"), F.count("*").alias("linked")).first()
+        return truth, row.known, row.linked
 
     rows = AUDIT_ROWS
     truth, known, linked = audited(rows)
@@ -292,13 +345,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, shard_rows: int = 4096,
         rows *= 4
         truth, known, linked = audited(rows)
     for shards, beam in EFFORTS:
-        asks = vectors.select("id", "v").mapInArrow(nearest(shards), f"cluster int, id long, v {kind}")
-        asks = asks.select("cluster", F.explode(F.sequence(F.lit(0), split[F.col("cluster")].cast("int") - 1)).alias("part"), "id", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("asks"))
-        pairs = written(nodes.unionByName(asks).groupBy("cluster", "part").applyInPandas(search(beam), "a long, b long").distinct(), "pairs")
-        recall = truth.join(pairs, ["a", "b"], "left_semi").count() / known if known else None
+        blocks = dealt(shards, block_rows)
+        held = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+        asks = vectors.mapInArrow(nearest(shards), columns)
+        asks = asks.select("*", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), F.pmod(F.xxhash64(F.lit(3), "id"), blocks).cast("int").alias("block"))
+        asks = asks.select(*[c for c in held.columns if c in asks.columns], F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("asks"))
+        found = held.unionByName(asks).groupBy("cluster", "part", "block").applyInPandas(search(shards, beam), "id long, near long, hits long, copies long")
+        found = written(found.groupBy("id", "near").agg(F.sum("hits").alias("hits"), F.sum("copies").alias("copies")), "found")
+        degree = found.where("id = near").select("id", "hits", "copies")
+        hit = truth.join(degree, "id").agg(F.coalesce(F.sum(F.least("n", "hits")), F.lit(0)).alias("n")).first().n
+        recall = hit / known if known else None
         if recall >= target if known else (shards, beam) == UNMEASURED or rows >= total:
             break
-    return pairs, recall
+    return degree, found.where("id <> near").select(F.col("id").alias("a"), F.col("near").alias("b")), recall
 
 
 def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -307,10 +366,9 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vector_col:
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = rows.where("id is not null").where(F.coalesce(good & F.exists("v", lambda x: x != 0), F.lit(False)))
     classes = written(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    pairs, recall = similar_pairs(classes.select("id", "v"), threshold)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-    found = components(pairs)
+    degree, links, recall = similar_links(classes.select("id", "v", "copies"), threshold)
+    degree = degree.select(F.col("id").alias("a"), F.col("copies").alias("linked"))
+    found = components(links)
     known = classes.join(degree, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
     known = written(known.select("v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "known")
     out = rows.join(known, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

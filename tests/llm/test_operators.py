@@ -165,8 +165,8 @@ def test_embedding_effort_rises_on_recall_alone(spark, monkeypatch):
     names = []
     real = embedding.written
     monkeypatch.setattr(embedding, "written", lambda df, name: names.append(name) or real(df, name))
-    embedding.similar_pairs(vectors.selectExpr("id", "v", "1L as copies"), 0.9, target=2.0)
-    assert names.count("pairs") == len(embedding.EFFORTS)  # one cluster, and yet every beam is tried
+    embedding.similar_links(vectors.selectExpr("id", "v", "1L as copies"), 0.9, target=2.0)
+    assert names.count("found") == len(embedding.EFFORTS)  # one cluster, and yet every beam is tried
 
 
 def test_embedding_audit_measures_rare_links(spark):
@@ -187,10 +187,33 @@ def test_embedding_graph_reaches_every_node():
         seen.update(front)
         front = list({j for i in front for j in lists[i].tolist()} - seen)
     assert len(seen) == len(x)
-    q, v = embedding.range_search(x, [np.zeros(0, np.int64)] * len(x), 0, x[-1:], np.array([len(x) - 1]), 0.9, 32)
+    ((q, v),) = embedding.range_search(x, [np.zeros(0, np.int64)] * len(x), 0, x[-1:], np.array([len(x) - 1]), 0.9, 32)
     assert (len(x) - 1) in v.tolist()  # without an edge, the own node is still known
 
 
+@pytest.mark.parametrize("skewed", [True, False])
+def test_embedding_counts_without_pairs(spark, monkeypatch, skewed):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1 if skewed else 150, 16)).repeat(400 if skewed else 4, 0)
+    x = x + (0.01 if skewed else 0.1) * rng.normal(size=x.shape)
+    y = embedding.unit(x)
+    near = y @ y.T >= 0.9
+    sizes = {}
+    real = embedding.written
+    monkeypatch.setattr(embedding, "written", lambda df, name: sizes.setdefault(name, real(df, name)))
+    vectors = spark.createDataFrame([(i, v.tolist(), 2) for i, v in enumerate(x)], "id long, v array<double>, copies long")
+    rows = {"shard_rows": 64, "block_rows": 48, "cluster_rows": 10**6} if skewed else {"cluster_rows": 40}
+    degree, links, recall = embedding.similar_links(vectors, 0.9, **rows)
+    got = {r.id: (r.hits, r.copies) for r in degree.collect()}
+    found = sum(h for h, _ in got.values())
+    assert all(h <= near[i].sum() - 1 and c == 2 * h for i, (h, c) in got.items())
+    assert found >= 0.97 * (near.sum() - len(x)) and recall >= 0.97
+    assert all(near[r.a].any() for r in links.collect())
+    if skewed:
+        assert sizes["found"].count() < near.sum() / 8  # no list of pairs
+        assert {r.component for r in components.components(links).collect()} == {0}
+
+
 def license_force(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
