@@ -244,6 +244,42 @@ def test_license_suppression_and_rule_count(spark):
     assert [(d.label, d.first, d.last, d.priority) for d in row.detections] == [("apache-2", 0, 7, 80)]  # eight words
 
 
+def spelled(tree):
+    """All strings that a parsed regex of literals, sets, groups and optional parts matches."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(c) for kind, c in arg if str(kind) == "LITERAL"]
+        elif op == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in spelled(branch)]
+        else:
+            assert op == "MAX_REPEAT" and arg[:2] == (0, 1), op
+            more = ["", *spelled(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_lose_nothing(spark):
+    rules = [(kws, re.compile(rx), conf) for _, _, kws, rx, _, conf in licenses.signatures()]
+    names = {label: spelled(re._parser.parse(name)) for label, (_, name) in licenses.NAMES.items()}
+    for label, (keywords, _) in licenses.NAMES.items():
+        for name in names[label]:
+            assert any(f" {kw} " in f" {name} " for kw in keywords.split("|")), (label, name)
+    forms = ["spdx license identifier {}", "released under {}", "distributed under the {}", "under the terms of the {} licence", "{} public license", "{}"]
+    texts = [(i, "this is " + form.format(name) + " as is") for i, (form, name) in enumerate((f, n) for some in names.values() for n in some[:: max(1, len(some) // 12)] for f in forms)]
+    texts += [(10**6, "Released under Apache 2.0"), (10**6 + 1, "distributed under MIT"), (10**6 + 2, "published under Creative Commons Attribution"), (10**6 + 3, "under the Expat license")]
+    got = {r.doc_id: r for r in licenses.summary(licenses.scan(frame(spark, texts))).collect()}
+    assert [got[10**6 + i].labels for i in range(4)] == ["apache-2", "mit", "cc-by", "mit"]
+    for i, text in texts:
+        norm = " " + re.sub(r"[^a-z0-9]+", " ", text.lower()).strip() + " "
+        assert got[i].score == max([conf for _, rx, conf in rules if rx.search(norm)], default=0.0), text
+
+
 def rules_force(text):
     text = text or ""
     words = WORDS.findall(text)
