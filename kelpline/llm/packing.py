@@ -4,7 +4,8 @@ Documents become ids (operator 1) plus an end id; only documents longer than a s
 hash into groups of about ``group_rows`` pieces. In a group, best fit in falling order of length gives a first packing;
 then local search exchanges one piece for one, two for one, or moves a piece between underfull bins whenever that raises
 the sum of squared fills, so that full bins get fuller and weak ones drain until they are empty. What lies in bins that
-stay below ``settled`` goes through a second round in new groups, so the groups' ends are packed together as well.
+stay below ``settled`` is dealt and packed anew, so the groups' ends are packed together as well, until one group holds it
+or a round saves no bin.
 
 Only lengths travel between tasks, never texts or ids, and a group's size does not grow with the input.
 
@@ -65,15 +66,14 @@ class Bins:
                 bisect.insort(spaces, left)
             heapq.heappush(free[left], b)
 
-    def improve(self, rounds: int = 8) -> None:
-        """Local search between underfull bins. Each accepted step raises the sum of squared fills, so it ends; the weakest
-        bins are drained first. It ends as well when no fewer bins could hold the lengths."""
+    def improve(self) -> None:
+        """Local search between underfull bins. Each accepted step raises the sum of squared fills, so it ends, when
+        no bin can be drained; the weaker half is tried first. It ends as well when no fewer bins could hold the lengths."""
         least = -(-sum(self.lengths) // self.size)
-        for _ in range(rounds):
-            if sum(map(bool, self.items)) <= least:
-                break
+        while sum(map(bool, self.items)) > least:
             under = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.size), key=lambda b: self.fill[b])
-            if len(under) < 2 or not any([self._drain(b, under) for b in under[: max(1, len(under) // 2)]]):
+            half = max(1, len(under) // 2)
+            if not any([self._drain(b, under) for b in under[:half]]) and not any([self._drain(b, under) for b in under[half:]]):
                 break
 
     def _drain(self, weak: int, under: list[int]) -> bool:
@@ -149,13 +149,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, len
     return source.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, settled: float = 0.998, rounds: int = 2) -> DataFrame:
+def _sequences(packed: DataFrame) -> int:
+    return packed.select("sequence_id").distinct().count()
+
+
+def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, settled: float = 0.998) -> DataFrame:
     """Add (sequence_id, offset) to a table of pieces with (doc_id, row, piece, length)."""
     schema = found.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, sequence_fill long"
 
-    def group(salt: int, groups: int):
+    def group(before: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            base = (int(pdf["_group"].iloc[0]) * rounds + salt) << 24
+            base = (before + int(pdf["_group"].iloc[0])) << 24
             pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
             lengths = pdf["length"].to_numpy()
             bins = pack_group(lengths.tolist(), size)
@@ -167,18 +171,20 @@ def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, set
 
         return run
 
-    done, rest = None, found
-    for salt in range(rounds):
+    done, rest, ends, before, salt = None, found, None, 0, 0  # ends: the rest as the round before packed it
+    while True:
         groups = max(1, -(-rest.count() // group_rows))
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "row"), F.lit(groups)))
-        packed = dealt.groupBy("_group").applyInPandas(group(salt, groups), schema)
-        if salt < rounds - 1:
-            packed = written(packed, "packed")
-            settle = F.col("sequence_fill") >= int(settled * size)
-            rest = packed.where(~settle).drop("sequence_id", "offset", "sequence_fill")
-            packed = packed.where(settle)
-        done = packed if done is None else done.union(packed)
-    return done.drop("sequence_fill")
+        packed = written(dealt.groupBy("_group").applyInPandas(group(before), schema), "packed")
+        before, salt = before + groups, salt + 1
+        saved = ends is None or _sequences(packed) < _sequences(ends)
+        if not saved or groups == 1:
+            last = packed if saved else ends
+            return (last if done is None else done.union(last)).drop("sequence_fill")
+        settle = F.col("sequence_fill") >= int(settled * size)
+        full, ends = packed.where(settle), packed.where(~settle)
+        done = full if done is None else done.union(full)
+        rest = ends.drop("sequence_id", "offset", "sequence_fill")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 1, memory: int = MEMORY) -> DataFrame:

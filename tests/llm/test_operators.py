@@ -451,6 +451,31 @@ def test_packing_is_whole_gapless_and_tight(spark, documents, source):
     assert len(bins) <= 1.02 * total / 4096 + 1
 
 
+def test_packing_search_ends_only_without_a_step():
+    rng = np.random.default_rng(6)
+    for _ in range(6):
+        bins = packing.Bins(rng.integers(900, 2600, 300).tolist(), 4096)
+        bins.improve()
+        under = sorted((b for b in range(len(bins.items)) if 0 < bins.fill[b] < 4096), key=lambda b: bins.fill[b])
+        fewest = sum(map(bool, bins.items)) == -(-sum(bins.lengths) // 4096)
+        assert fewest or not any(bins._drain(b, under) for b in under)
+
+
+def test_packing_deals_the_rest_until_no_bin_is_saved(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, i, 0, int(n)) for i, n in enumerate(rng.integers(1900, 2300, 400))]
+    names = []
+    real = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: names.append(name) or real(df, name))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, row long, piece int, length long"), group_rows=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400)) and len(names) > 2
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096
+
+
 def test_local_search_empties_bins():
     lengths = [2000, 2000, 2096, 2096, 1500, 1500, 1096, 900, 3196]
     found = packing.pack_group(lengths, 4096)
