@@ -32,6 +32,8 @@ from kelpline.llm.common import slices, turn_of
 
 #: Entries of a worker's memories; a full one is emptied but for what is used just then, which changes no result.
 MEMORY = 700_000
+#: Longer words and runs, such as encoded data, are not remembered after their slice, so entries bound the bytes too.
+LONGEST = 48
 
 #: Above this the plain path below does not know a character's class; such texts go through the library's own splitter.
 _ODD = re.compile("[\x1c-\x1fİ]|[^\x00-ɏ‐-‧€]")
@@ -275,7 +277,14 @@ class WordBpe:
             chunks[chunk] = words[parts[0]] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
         chunks[""] = b""
         get = chunks.__getitem__
-        return [b"".join(b"".join(map(get, x)) if isinstance(x, list) else self.packed[x] for x in plan) for plan in plans]
+        out = [b"".join(b"".join(map(get, x)) if isinstance(x, list) else self.packed[x] for x in plan) for plan in plans]
+        for chunk in found:
+            if len(chunk) > LONGEST:
+                for word in {chunk: 0, **dict.fromkeys(found[chunk], 0)}:
+                    if len(word) > LONGEST:
+                        chunks.pop(word, None)
+                        words.pop(word, None)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included, as the library's decode gives it for this file."""
