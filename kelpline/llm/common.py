@@ -6,11 +6,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one slice of an Arrow batch holds (a longer text is alone in its slice).
 SLICE_BYTES = 4 << 20
@@ -21,22 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, one machine (a local master, as in tests) gets a temporary
+    folder; a cluster has none that all executors share, so that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor repeats nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def carries(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df`` as the last reader of ``table``: to discard the one deletes the other."""
+    _paths[df] = _paths.pop(table)
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bits of a bitmap of ids at most (8 MB); beyond some 30 million ids it lets more and more pass, which costs time alone.
+MOST_BITS = 1 << 26
+
+
+class Marks:
+    """A bitmap of the hashed values of a column, for tasks to skip most rows that a join would drop. It is built by grouped
+    bitmaps, at most ``MOST_BITS`` bits, sent to the tasks, and never says no to a value that the column holds."""
+
+    def __init__(self, df: DataFrame, column: str):
+        self.bits = max(1 << 15, min(MOST_BITS, 1 << (64 * max(1, df.count()) - 1).bit_length()))
+        place = self.place(column)
+        found = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).collect()
+        flags = np.zeros(self.bits // 8 + (1 << 12), np.uint8)
+        for r in found:  # bucket k holds the places from (k - 1) * 32768 + 1 on
+            flags[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bitmap), np.uint8)
+        self.flags = df.sparkSession.sparkContext.broadcast(flags)
+
+    def place(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits)) + 1
+
+    def may_hold(self, places: np.ndarray) -> np.ndarray:
+        at = places - 1
+        return (self.flags.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 _held: dict[str, Callable[[], object]] = {}

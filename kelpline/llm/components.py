@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import written
+from kelpline.llm.common import carries, discard, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # stable when every node has one smaller neighbour and no node is both a child and a parent
         after = written(_star(_star(links, True), False), "links")
-        if after.count() == links.count() and after.exceptAll(links).isEmpty():
+        stable = after.count() == links.count() and after.exceptAll(links).isEmpty()
+        discard(links)
+        if stable:
             break
         links = after
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return carries(after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), after)
