@@ -4,10 +4,10 @@ A word's emission scores are sums of learned weights of hashed features: its big
 (which hold the one- and two-letter affixes), its three-letter prefix and suffix, and the word itself (lexicon).
 Learned transitions tie neighbours together. Forward-backward gives every word's label distribution, so code-switched
 text is labelled word by word; a document's language is the label with the largest expected number of words, its score
-the share of words. The words of a text form chains of at most ``CHAIN`` words that cover the whole text.
+the share of words, its confidence the mean of the words' largest probabilities. The words of a text form chains of at most ``CHAIN`` words that cover the whole text.
 
 Training: stochastic gradient steps on the CRF likelihood of windows from a bounded sample of labelled documents (about
-``TRAIN_DOCS``, chosen by a hash of the id), every word labelled with its document's language.
+``TRAIN_DOCS``, chosen by a hash of the id; the windows are cut in the tasks, so whole texts don't reach the driver), every word labelled with its document's language.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no training rows everything is ``und``;
 very long texts take time in proportion; ties go to the first language in order; repeated rows give repeated results;
@@ -17,6 +17,7 @@ an empty table gives an empty result; null ids count as training rows and stay n
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,18 +109,27 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, starts: np.ndarray
     return both / both.sum(1, keepdims=True)
 
 
+def windows_of(text: str | None) -> list[list[str]]:
+    """At most ``WINDOWS_PER_DOC`` windows of ``WINDOW`` words at places drawn by the text; shorter texts are repeated."""
+    words = words_of(text)
+    if not words:
+        return []
+    places = np.random.default_rng(zlib.crc32((text or "").encode())).integers(0, max(1, len(words) - WINDOW + 1), min(WINDOWS_PER_DOC, -(-len(words) // WINDOW)))
+    return [(words[s : s + WINDOW] * WINDOW)[:WINDOW] for s in places]
+
+
 def fit(samples: list[tuple[str | None, str]], seed: int = 3) -> Crf:
     """Train on (text, label) pairs."""
+    return fit_windows([(windows_of(text), y) for text, y in samples], seed)
+
+
+def fit_windows(samples: list[tuple[list[list[str]], str]], seed: int = 3) -> Crf:
+    """Train on (windows of a text, label) pairs."""
     rng = np.random.default_rng(seed)
     labels = sorted({y for _, y in samples})
     windows, targets, index = [], [], {}
-    for text, y in samples:
-        words = words_of(text)
-        if not words:
-            continue
-        k = min(WINDOWS_PER_DOC, -(-len(words) // WINDOW))
-        for s in rng.integers(0, max(1, len(words) - WINDOW + 1), k):
-            part = (words[s : s + WINDOW] * WINDOW)[:WINDOW]
+    for parts, y in samples:
+        for part in parts:
             windows.append([index.setdefault(w, len(index)) for w in part])
             targets.append(labels.index(y))
     n = len(labels)
@@ -170,11 +180,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on about ``train_docs`` rows of ``docs`` with a text and a language."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = min(1.0, train_docs / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 40)) < int(share * (1 << 40))).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * train_docs)
-    return fit([(r.t, r.l) for r in sorted(sample.collect(), key=lambda r: (str(r.id), r.t))])
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 40)) < int(share * (1 << 40))).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(2 * train_docs)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            found = [windows_of(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.list_(pa.string())))], ["id", "l", "windows"])
+
+    cuts = sample.mapInArrow(cut, "id string, l string, windows array<array<string>>").collect()  # at most 288 words of a text
+    return fit_windows([(r.windows, r.l) for r in sorted(cuts, key=lambda r: (r.id or "", r.l, r.windows))])
 
 
-def predict_texts(model: Crf, texts: list[str | None], memory: dict[str, np.ndarray]) -> list[tuple[str, float]]:
+def predict_texts(model: Crf, texts: list[str | None], memory: dict[str, np.ndarray]) -> list[tuple[str, float, float]]:
+    """(language, its share of the words, mean of the words' largest marginals) of every text."""
     split = [words_of(t) for t in texts]
     if len(memory) > MEMORY:
         memory.clear()
@@ -183,7 +201,7 @@ def predict_texts(model: Crf, texts: list[str | None], memory: dict[str, np.ndar
     if fresh and model.labels:
         memory.update(zip(fresh, model.emissions(fresh).astype(np.float32), strict=True))
     if not number or not model.labels:
-        return [("und", 0.0)] * len(texts)
+        return [("und", 0.0, 0.0)] * len(texts)
     scores = np.stack([memory[w] for w in number]).astype(np.float64)
     sizes = np.array([len(words) for words in split])
     e = scores[np.fromiter((number[w] for words in split for w in words), np.int64, sizes.sum())]
@@ -192,19 +210,20 @@ def predict_texts(model: Crf, texts: list[str | None], memory: dict[str, np.ndar
     stops = np.concatenate([np.minimum(np.arange(end - size, end, CHAIN) + CHAIN, end) for end, size in zip(ends, sizes, strict=True)])
     p = marginals(e, model.transitions.astype(np.float64), starts.astype(np.int64), (stops - starts).astype(np.int64))
     sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
+    sure = np.concatenate([np.zeros(1), np.cumsum(p.max(1))])
     out = []
     for end, size in zip(ends, sizes, strict=True):
         if not size:
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 0.0))
             continue
         share = (sums[end] - sums[end - size]) / size
         best = int(share.argmax())
-        out.append((model.labels[best], float(min(1.0, max(0.0, share[best])))))
+        out.append((model.labels[best], float(min(1.0, max(0.0, share[best]))), float((sure[end] - sure[end - size]) / size)))
     return out
 
 
 def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with (lang_pred, score) added; a struct column ``row`` carries the others through."""
+    """All columns of ``docs`` as a struct ``row``, with (lang_pred, score, confidence)."""
     kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +231,6 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
         memory: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text", 1 << 21):  # each word of a slice takes some arrays of labels
             found = predict_texts(model, batch.column(1).to_pylist(), memory)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]], ["row", "lang_pred", "score", "confidence"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, lang_pred string, score double, confidence double")

@@ -119,6 +119,74 @@ def test_minhash_components_equal_brute_force(spark, documents, source, words, p
         assert len(set(want.values())) < 12
 
 
+BASE = [f"w{i}" for i in range(120)]
+
+
+def copies_with_noise(rng, count, most):
+    """Texts made of the base text by replacing up to ``most`` of its words, so many buckets hold several components."""
+    out = []
+    for i in range(count):
+        words = list(BASE)
+        for j in rng.choice(120, rng.integers(0, most), replace=False):
+            words[j] = f"n{i}x{j}" if rng.random() < 0.5 else f"m{j}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_minhash_of_many_half_similar_texts_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)  # the members of one shingle are dealt into blocks
+    texts = copies_with_noise(np.random.default_rng(8), 150, 14)
+    sets = [(i, shingles(t, 3)) for i, t in enumerate(texts)]
+    want = components_by_force(sets, 85)
+    assert 1 < len(set(want.values())) < 150
+    names = []
+    real = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: names.append(name) or real(df, name))
+    got = minhash.near_duplicates(frame(spark, list(enumerate(texts))), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert "rest" in names  # the exact filter had something left
+
+
+def test_minhash_of_one_id_with_several_texts(spark):
+    b = " ".join(BASE)
+    docs = frame(spark, [(1, "some other text of its own"), (1, b), (3, b + " end"), (2, None), (None, b)])
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+    assert got == {(1, 4): (1, True), (1, 118): (1, True), (3, 119): (1, False), (2, 0): (2, True), (None, 118): (None, True)}
+
+
+def test_one_of_each_keeps_a_row_of_every_group(spark):
+    b = " ".join(BASE)
+    rows = [(1, "some other text of its own"), (1, b), (1, b), (3, b + " end"), (2, None), (2, None), (None, b + " last"), (None, "alone with no id here"), (4, "one more text that is alone"), (5, "a copy of two words"), (6, "A copy of two words")]
+    got = minhash.one_of_each(frame(spark, rows), words=3, percent=85)
+    assert got.columns == frame(spark, []).columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([rows[0], rows[1], rows[4], rows[5], rows[7], rows[8], rows[9]])
+    plain = minhash.one_of_each(frame(spark, rows[3:5] + rows[8:]), words=3, percent=85)
+    assert sorted(r.doc_id for r in plain.collect()) == [2, 3, 4, 5]
+    assert minhash.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_marks_hold_every_value(spark, monkeypatch):
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(common, "MOST_BITS", bits)
+        marks = common.Marks(spark.range(0, 3000, 3).selectExpr("nullif(id, 9) as x"), "x")
+        places = spark.range(3000).selectExpr("nullif(id, 9) as x").select("x", marks.place("x").alias("p")).collect()
+        held = marks.may_hold(np.array([r.p for r in places]))
+        assert all(h for r, h in zip(places, held, strict=True) if r.x is None or r.x % 3 == 0)
+        assert held.sum() < (1080 if bits > 1 << 15 else 1150)
+
+
+def test_discarded_tables_are_deleted(spark):
+    import os
+
+    kept = common.written(spark.range(5), "kept")
+    path = common._paths[kept]
+    other = kept.where("id > 1")
+    common.discard(other)
+    assert os.path.isdir(path) and other.count() == 3
+    common.discard(common.carries(other, kept))
+    assert not os.path.isdir(path)
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 900).astype(np.uint64)

@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import corpus_pipeline
-from kelpline.llm import language, quality
+from kelpline.llm import language, pipeline, quality
 from kelpline.llm.queries import language_model, quality_model
 from tests.llm.test_operators import components_by_force, shingles
 
@@ -21,7 +21,7 @@ def test_stages_filter_what_they_should(spark):
         got = {r.doc_id for r in kept.collect()}
         if name == "language_id":
             found = dict(zip(texts, language.predict_texts(model, list(texts.values()), {}), strict=True))
-            want = {i for i in alive if found[i][0] != "und" and found[i][1] >= corpus_pipeline.LANGUAGE_SHARE}
+            want = {i for i in alive if found[i][0] != "und" and found[i][2] >= pipeline.CONFIDENCE}
         elif name == "quality_classifier":
             want = {i for i in alive if net.score([texts[i]])[0] >= 0.7}
         else:
