@@ -1,67 +1,5 @@
-"""A corpus pipeline of four stages; counted as part of the subpackage llm.
+"""The corpus pipeline of four stages; counted as part of the subpackage llm, where the stages are."""
 
-Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and is written as Parquet
-and read again. All but the last return the columns of ``documents``. Models are trained on the documents and labels of
-``sf_dir``. Null ids, texts and empty tables are handled as the operators' docstrings state.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kelpline.llm import language, minhash, packing, quality
-from kelpline.llm.common import shared_dir, table
-from kelpline.llm.queries import language_model, quality_model, tokenizer
-
-#: A document whose best language holds less than this share of its words is rejected, as is one without a letter.
-LANGUAGE_SHARE = 0.5
-#: Words that the encoder remembers in a worker, fewer than alone: here executors also keep the heap of shuffles before it.
-ENCODER_MEMORY = 250_000
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a known language."""
-    found = language.predict(docs, language_model(spark, sf_dir))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select("row.*")
-
-
-def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier predicts to be good."""
-    return quality.predict(docs, quality_model(spark, sf_dir)).where("predicted = 1").select("row.*")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five words, similarity 0.8), the one with the smallest id; a
-    repeated id keeps one of its rows, rows with a null id stay."""
-    found = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id is not null").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else docs.where("doc_id is not null")
-    return known.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").union(docs.where("doc_id is null"))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer(), memory=ENCODER_MEMORY)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("quality_classifier", classify_quality),
-    ("minhash_dedup", drop_near_duplicates),
-    ("best_fit_packing", pack_sequences),
-]
-
-#: No stage's model or local search can be stated in SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+from kelpline.llm.pipeline import ORACLE_SQL as ORACLE_SQL
+from kelpline.llm.pipeline import STAGES as STAGES
+from kelpline.llm.pipeline import run as run
