@@ -1,10 +1,11 @@
 """Operator 4 [native]: license scan with ordered signature rules.
 
 A text becomes its words in lower case between single spaces, so a signature is a regex over words. Signatures are
-written by hand as license names (below) in a few forms of wording; that makes some 240 ordered regexes. A rule
-runs only if the text contains one of its keywords as whole words; every alternative of its name holds one of them, so
-nothing that a rule matches is lost. Detections carry word intervals; a detection that lies inside an interval of a rule of
-higher priority (or the same interval of an earlier rule) is suppressed. Built-in functions only, one pass, no shuffle.
+written by hand: license names in a few forms of wording, and sentences of license bodies, file notices and addresses;
+that makes some 330 ordered regexes. A rule runs only if the text contains one of its keywords as whole words; whatever
+the rule matches holds one of them, so nothing is lost. Detections carry word intervals; a detection that lies inside an
+interval of a rule of higher priority (or of a longer one, or an earlier rule, of the same) is suppressed, in one walk
+along the sorted intervals. Built-in functions only, one pass, no shuffle.
 
 Base phrases are rules of their own that nothing suppresses.
 
@@ -86,13 +87,87 @@ NAMES: dict[str, tuple[str, str]] = {
     "commons-clause": ("commons clause", "commons clause"),
     "openrail": ("openrail|rail", "(?:bigscience |creativeml )?(?:open ?rail(?: [ms])?|rail)(?: licen[sc]e)?"),
 }
+#: (label, keywords of which every match contains one as whole words, regex in words). Hand-written from the licenses' own
+#: bodies, the notices that they ask for, and their addresses.
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "permission is hereby granted free", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "opensource org", "opensource org licen[sc]es? mit"),
+    ("isc", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd", "source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse or promote products", "neither the names? of (?:[^ ]+ ){1,24}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", "apache", "licensed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2", "apache org", "apache org licen[sc]es licen[sc]e 2 0"),
+    ("apache-1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    ("apache-1", "apache group", "this product includes software developed by the apache group"),
+    ("gpl-2", "general public", "gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e"),
+    ("gpl-3", "general public", "gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("gpl-2", "june 1991", "gnu general public licen[sc]e version 2 june 1991"),
+    ("gpl-3", "29 june 2007", "gnu general public licen[sc]e version 3 29 june 2007"),
+    ("lgpl-2", "general public", "gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation either version 2(?: [01])? of the licen[sc]e"),
+    ("lgpl-3", "general public", "gnu lesser general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("agpl-3", "affero", "gnu affero general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("gpl", "gnu org", "gnu org (?:licen[sc]es|copyleft) gpl"),
+    ("lgpl", "gnu org", "gnu org (?:licen[sc]es|copyleft) lgpl"),
+    ("agpl", "gnu org", "gnu org licen[sc]es agpl"),
+    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    ("mpl-2", "mozilla org", "mozilla org mpl 2 0"),
+    ("mpl-1", "mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 [01]"),
+    ("epl-1", "eclipse public", "accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v1 0|version 1 0)"),
+    ("epl-2", "eclipse public", "accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v ?2 0|version 2 0)"),
+    ("cddl-1", "common development", "contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unlicense org", "unlicense org"),
+    ("wtfpl", "changing it is allowed", "verbatim or modified copies of this licen[sc]e document and changing it is allowed as long as the name is changed"),
+    ("wtfpl", "do what the fuck", "do what the fuck you want to(?: public licen[sc]e)?"),
+    ("wtfpl", "wtfpl net", "wtfpl net"),
+    ("zlib", "in no event will the authors", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
+    ("boost-1", "permission is hereby granted free", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation"),
+    ("boost-1", "boost org", "boost org licen[sc]e 1 0"),
+    ("cc0-1", "publicdomain", "creativecommons org publicdomain zero 1 0"),
+    ("cc0-1", "has dedicated the work", "has dedicated the work to the public domain by waiving all of (?:his|her|their)(?: or (?:his|her))? rights"),
+    ("cc-by", "creativecommons org", "creativecommons org licen[sc]es by"),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licen[sc]es by sa"),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licen[sc]es by nd"),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licen[sc]es by nc"),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licen[sc]es by nc sa"),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licen[sc]es by nc nd"),
+    ("odbl", "opendatacommons", "opendatacommons org licen[sc]es odbl"),
+    ("odc-by", "opendatacommons", "opendatacommons org licen[sc]es by"),
+    ("pddl", "opendatacommons", "opendatacommons org licen[sc]es pddl"),
+    ("ofl-1", "open font", "this font software is licensed under the sil open font licen[sc]e"),
+    ("ofl-1", "open font", "the goals of the open font licen[sc]e ofl are to stimulate worldwide development"),
+    ("artistic-1", "the intent of this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", "given free software package", "terms under which a given free software package may be copied modified distributed"),
+    ("psf-2", "python software foundation", "this licen[sc]e agreement is between the python software foundation psf and the individual or organi[sz]ation"),
+    ("php-3", "php", "this product includes php software freely available from"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("ncsa", "following disclaimers", "retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("postgresql", "without a written agreement", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("vim", "unmodified copies of vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("ms-pl", "governs use of the accompanying", "this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e"),
+    ("sspl-1", "functionality of the program", "make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2", "hosted or managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "right to sell the software", "does not grant to you the right to sell the software"),
+    ("bsl-1.1", "non production use", "redistribute and make non production use of the licensed work"),
+    ("openrail", "derivatives of the model", "you agree not to use the model or derivatives of the model"),
+    ("public-domain", "public domain", "(?:has been placed|is placed|is hereby placed|is released|is dedicated|released|placed) (?:in|into|to) the public domain"),
+]
+BODY_PRIORITY, BODY_CONFIDENCE = 60, 0.9
 #: (form, priority, confidence, regex around a name N, whether N is the label's words). Earlier and higher wins.
 FORMS: tuple[tuple[str, int, float, str], ...] = (
     ("identifier", 90, 1.0, "spdx licen[sc]e identifier (?:N)(?: or later| only)?"),
-    ("grant", 80, 0.95, "(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed) under (?:the )?(?:terms of )?(?:the )?(?:N)(?: licen[sc]e)?"),
+    ("grant", 80, 0.95, "(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed) under (?:an? |the )?(?:terms of )?(?:an? |the )?(?:N)(?: licen[sc]e)?"),
     ("under", 70, 0.9, "under (?:the )?(?:terms of the )?(?:N) licen[sc]e"),
     ("name", 50, 0.8, "(?:N) (?:public )?licen[sc]e"),
 )
+ALONE_PRIORITY = 40
+#: The priorities of the method's rules, negated, from the highest.
+RANKS = sorted({-priority for _, priority, _, _ in FORMS} | {-BODY_PRIORITY, -ALONE_PRIORITY})
 #: Names that are plain enough to be detected alone.
 ALONE = ("apache-2", "gpl-2", "gpl-3", "lgpl-2", "lgpl-3", "agpl-3", "mpl-2", "cc0-1", "cc-by-2", "cc-by-3", "cc-by-4", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
 
@@ -102,7 +177,8 @@ def signatures() -> list[tuple[int, str, list[str], str, int, float]]:
     rules = [(label, words, words, 100, 1.0) for words, label in BASE.items()]
     for _, priority, confidence, form in FORMS:
         rules += [(label, keywords, form.replace("N", name), priority, confidence) for label, (keywords, name) in NAMES.items()]
-    rules += [(label, NAMES[label][0], f"(?:{NAMES[label][1]})", 40, 0.7) for label in ALONE]
+    rules += [(label, keywords, regex, BODY_PRIORITY, BODY_CONFIDENCE) for label, keywords, regex in BODIES]
+    rules += [(label, NAMES[label][0], f"(?:{NAMES[label][1]})", ALONE_PRIORITY, 0.7) for label in ALONE]
     return [(i, label, [f" {k} " for k in keywords.split("|")], f"(?<= )(?:{regex})(?= )", priority, confidence) for i, (label, keywords, regex, priority, confidence) in enumerate(rules)]
 
 
@@ -116,13 +192,10 @@ def _detections(norm: Column) -> Column:
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.array(*map(F.lit, kws)).alias("kws"), F.lit(rx).alias("rx"), F.lit(p).alias("priority"), F.lit(conf).alias("confidence")) for i, label, kws, rx, p, conf in signatures()])
 
     def found(r: Column) -> Column:
-        hits, gaps = F.regexp_extract_all(norm, r["rx"], F.lit(0)), F.split(norm, r["rx"], -1)
-
-        def place(m: Column, k: Column) -> Column:
-            before = _spaces(F.concat(F.array_join(F.slice(gaps, F.lit(1), k + 1), ""), F.array_join(F.slice(hits, F.lit(1), k), ""))) - 1
-            return F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), before.cast("long").alias("first"), (before + _spaces(m)).cast("long").alias("last"))
-
-        return F.transform(hits, place)
+        words = F.split(F.trim(F.regexp_replace(norm, r["rx"], F.lit("\x01$0"))), " ")  # a match starts at a word, which is marked
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.startswith(F.get(words, k), F.lit("\x01")))
+        fields = [r[k].alias(k) for k in ("rule", "label", "priority", "confidence")]
+        return F.zip_with(starts, F.regexp_extract_all(norm, r["rx"], F.lit(0)), lambda k, m: F.struct(*fields, k.cast("long").alias("first"), (k + _spaces(m)).cast("long").alias("last")))
 
     def ran(held: Column) -> Column:
         return F.flatten(F.transform(F.filter(rules, lambda r: F.arrays_overlap(r["kws"], held) & F.regexp_like(norm, r["rx"])), found))
@@ -139,11 +212,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = docs.select(F.col(id_col), F.concat(F.lit(" "), F.trim(words), F.lit(" ")).alias("_norm"))
     n_words = F.when(F.length("_norm") > 2, _spaces(F.col("_norm")) - 1).otherwise(F.lit(0)).cast("long")
     df = df.select(id_col, n_words.alias("n_words"), _detections(F.col("_norm")).alias("_all"))
-    beats = lambda e, d: (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & ((e["priority"] > d["priority"]) | (e["priority"] == d["priority"]) & ((e["last"] - e["first"] > d["last"] - d["first"]) | (e["last"] - e["first"] == d["last"] - d["first"]) & (e["rule"] < d["rule"])))
-    own = F.filter("_all", lambda d: d["priority"] < 100)
-    kept = F.filter("_own", lambda d: ~F.exists("_own", lambda e: beats(e, d)))
     none = F.array().cast("array<struct<rule:int,label:string,priority:int,confidence:double,first:bigint,last:bigint>>")
-    df = df.withColumn("_own", own)
+    # whatever may suppress a detection comes before it in this order
+    own = F.transform(F.filter("_all", lambda d: d["priority"] < 100), lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), (-d["priority"]).alias("rank"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence")))
+
+    def walk(state: Column, d: Column) -> Column:
+        """``reach`` holds the furthest end of the detections so far, for each priority of those that high or higher."""
+        level = F.array_position(F.array(*map(F.lit, RANKS)), d["rank"]).cast("int")
+        last = -d["back"]
+        plain = F.array(F.struct(d["rule"].alias("rule"), d["label"].alias("label"), (-d["rank"]).alias("priority"), d["confidence"].alias("confidence"), d["first"].alias("first"), last.alias("last")))
+        kept = F.when(F.element_at(state["reach"], level) >= last, state["kept"]).otherwise(F.concat(state["kept"], plain))
+        return F.struct(kept.alias("kept"), F.transform(state["reach"], lambda x, k: F.when(k >= level - 1, F.greatest(x, last)).otherwise(x)).alias("reach"))
+
+    start = F.struct(none.alias("kept"), F.array(*[F.lit(-1).cast("long")] * len(RANKS)).alias("reach"))
+    kept = F.aggregate(F.sort_array(own), start, walk, lambda x: x["kept"])
     return df.select(id_col, "n_words", F.coalesce(F.filter("_all", lambda d: d["priority"] == 100), none).alias("base"), F.coalesce(kept, none).alias("detections"))
 
 

@@ -348,6 +348,61 @@ def test_license_keywords_lose_nothing(spark):
         assert got[i].score == max([conf for _, rx, conf in rules if rx.search(norm)], default=0.0), text
 
 
+def detections_force(text):
+    """Every rule on every text, without keywords, then suppression by comparing all with all."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())) + " "
+    found = []
+    for i, label, _, rx, priority, conf in licenses.signatures():
+        for m in re.finditer(rx, norm) if priority < 100 else ():
+            first = norm[: m.start()].count(" ") - 1
+            found.append((i, label, priority, conf, first, first + m[0].count(" ")))
+
+    def beats(e, d):
+        inside = e[4] <= d[4] and e[5] >= d[5]
+        return inside and (e[2], e[5] - e[4], -e[0]) > (d[2], d[5] - d[4], -d[0])
+
+    return Counter(d for d in found if not any(beats(e, d) for e in found))
+
+
+BODIES = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"),
+    ("Neither the name of the Foo Project nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"), ("do what the fuck you want to public license", "wtfpl"), ("distributed under GFDL license", "gfdl"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), ("apache 2.0", "apache-2"), ("the permission of the mitigated gap", ""),
+]
+
+
+@pytest.mark.parametrize("source", ["edge", "table"])
+def test_license_detections_equal_rules_without_keywords(spark, documents, source):
+    more = [(100 + i, t) for i, (t, _) in enumerate(BODIES)] + [(200, " and ".join(t for t, _ in BODIES) + " under the MIT License " * 40)]
+    docs = frame(spark, TEXTS + more) if source == "edge" else documents
+    scanned = licenses.scan(docs)
+    for (i, t), r in zip(sorted(texts_of(docs), key=lambda x: (x[0] is None, x)), sorted(scanned.collect(), key=lambda r: (r.doc_id is None, r.doc_id)), strict=True):
+        assert i == r.doc_id
+        assert Counter(tuple(d) for d in r.detections) == detections_force(t), t[:200]
+    if source == "edge":
+        labels = {r.doc_id: r.labels.split(",") for r in licenses.summary(scanned).collect()}
+        for i, (text, label) in enumerate(BODIES):
+            assert label in labels[100 + i], (text, labels[100 + i])
+
+
+def test_license_body_keywords_are_in_every_match():
+    for label, keywords, rx in licenses.BODIES:
+        rx = rx.replace("(?:[^ ]+ ){1,24}?", "x ").replace("(?! provided)", "")
+        for text in spelled(re._parser.parse(rx)):
+            assert any(f" {kw} " in f" {text} " for kw in keywords.split("|")), (label, text)
+    assert len(licenses.signatures()) > 300
+
+
+def test_scans_take_empty_tables(spark):
+    assert licenses.summary(licenses.scan(frame(spark, []))).count() == 0
+    assert rules.ledger(frame(spark, [])).count() == 0
+    assert bpe.encode(frame(spark, []), tokenizer(), decode=True).count() == 0
+
+
 def rules_force(text):
     text = text or ""
     words = WORDS.findall(text)
