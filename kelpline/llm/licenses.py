@@ -193,7 +193,7 @@ def _detections(norm: Column) -> Column:
 
     def found(r: Column) -> Column:
         words = F.split(F.trim(F.regexp_replace(norm, r["rx"], F.lit("\x01$0"))), " ")  # a match starts at a word, which is marked
-        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.startswith(F.get(words, k), F.lit("\x01")))
+        starts = F.array_compact(F.transform(words, lambda w, k: F.when(F.startswith(w, F.lit("\x01")), k)))
         fields = [r[k].alias(k) for k in ("rule", "label", "priority", "confidence")]
         return F.zip_with(starts, F.regexp_extract_all(norm, r["rx"], F.lit(0)), lambda k, m: F.struct(*fields, k.cast("long").alias("first"), (k + _spaces(m)).cast("long").alias("last")))
 
