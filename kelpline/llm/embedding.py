@@ -17,15 +17,15 @@
    so with all shards nothing can be missed. The sample grows until ``AUDIT_LINKED`` of its queries have true pairs or it
    holds ``AUDIT_MOST`` queries. Without a true pair there is no recall (null), and the effort ``UNMEASURED`` holds.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors
-whose length is not the most frequent one of the sample; repeated rows with one id count as separate vectors of one
+Vectors of different lengths have no cosine; each length is searched by itself, so a length more is a search more.
+
+Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; repeated rows with one id count as separate vectors of one
 class; ties go to the smallest id; a null id has a null component and is kept; an empty table gives an empty result;
 only the id and vector columns are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,19 +215,25 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def similar_links(vectors: DataFrame, threshold: float, shard_rows: int = 4096, block_rows: int = 8192, cluster_rows: int = 1000, target: float = 0.97) -> tuple[DataFrame, DataFrame, float | None]:
     """Of ``vectors`` (id, v, copies; distinct finite non-zero vectors): (id, hits, copies) of those with others at
     cosine >= threshold, hits counting vectors and copies their copies; links (a, b) whose components are those of the
-    pairs; the audited recall (None without a true pair)."""
+    pairs; the audited recall, the least of all lengths (None without a true pair)."""
+    lengths = [(r.d, r.n) for r in vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
+    found = [_links_of_one_length(vectors.where(F.size("v") == d), n, d, threshold, shard_rows, block_rows, cluster_rows, target) for d, n in lengths if n > 1]
+    spark = vectors.sparkSession
+    degree, links = spark.createDataFrame([], "id long, hits long, copies long"), spark.createDataFrame([], "a long, b long")
+    for more_degree, more_links, _ in found:
+        degree, links = degree.union(more_degree), links.union(more_links)
+    return degree, links, min((x for _, _, x in found if x is not None), default=None)
+
+
+def _links_of_one_length(vectors: DataFrame, total: int, d: int, threshold: float, shard_rows: int, block_rows: int, cluster_rows: int, target: float) -> tuple[DataFrame, DataFrame, float | None]:
     spark = vectors.sparkSession
-    total = vectors.count()
     sample = [r.v for r in _sampled(vectors, total, SAMPLE_ROWS, 1).select("v").collect()]
     if not sample:
         sample = [r.v for r in vectors.select("v").limit(SAMPLE_ROWS).collect()]
-    if total < 2:
-        return spark.createDataFrame([], "id long, hits long, copies long"), spark.createDataFrame([], "a long, b long"), None
-    d = Counter(map(len, sample)).most_common(1)[0][0]
-    vectors = vectors.where(F.size("v") == d).select("id", "v", "copies")
+    vectors = vectors.select("id", "v", "copies")
     kind = vectors.schema["v"].dataType.simpleString()
     k = max(1, min(4096, -(-total // cluster_rows)))
-    centroids = fit_centroids(unit(np.array([v for v in sample if len(v) == d])), k)
+    centroids = fit_centroids(unit(np.array(sample).reshape(-1, d)), k)
     columns = f"cluster int, id long, v {kind}, copies long, clusters array<int>"
 
     def orders(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

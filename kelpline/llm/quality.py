@@ -83,6 +83,33 @@ def _blocks(parts: list[np.ndarray], rows: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def gradients(net: Net, chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[np.ndarray, ...], float]:
+    """Gradients of the mean weighted log loss (with a small decay of ``out``) by embeddings, filters, bias, out and base, and
+    that loss, for texts of ``sizes`` chunks each."""
+    starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    z, at, groups = net.pooled(chunks)
+    mean, most = np.add.reduceat(z, starts, axis=0) / sizes[:, None], np.maximum.reduceat(z, starts, axis=0)
+    h = np.concatenate([mean, most], 1).astype(z.dtype)
+    p = 1 / (1 + np.exp(-np.clip(h @ net.out + z.dtype.type(net.base), -30, 30)))
+    g = ((p - y) * weight / len(sizes)).astype(z.dtype)
+    gh = g[:, None] * net.out
+    tied = z == most[doc]
+    tied = tied / np.add.reduceat(tied, starts, axis=0, dtype=np.int64)[doc]  # equal chunks share what goes to the maximum
+    gz = gh[doc, :FILTERS] / sizes[doc][:, None] + gh[doc, FILTERS:] * tied
+    gz = np.where(z > 0, gz, 0).astype(z.dtype)
+    who, which = np.nonzero(gz)
+    where, value = at[who, which], gz[who, which]
+    window = np.concatenate([groups[who, where], groups[who, where + 1]], 1)
+    gf = np.zeros_like(net.filters)
+    np.add.at(gf.T, which, value[:, None] * window)
+    ge_rows = chunks[who[:, None], where[:, None] * GROUP + np.arange(2 * GROUP)].ravel()
+    ge_values = (value[:, None] * net.filters.T[which]).reshape(-1, EMBED)
+    ge = np.stack([np.bincount(ge_rows, ge_values[:, k], 257) for k in range(EMBED)], 1)
+    ge[PAD] = 0
+    loss = -float((weight * np.where(y == 1, np.log(np.maximum(p, 1e-30)), np.log(np.maximum(1 - p, 1e-30)))).mean()) + 0.5e-4 * float((net.out**2).sum())
+    return (ge, gf, gz.sum(0), g @ h + 1e-4 * net.out, g.sum(keepdims=True)), loss
+
+
 def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
     """Train on (text, 0 or 1) pairs."""
     rng = np.random.default_rng(seed)
@@ -99,7 +126,7 @@ def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
     weight = np.where(ys == 1, 0.5 / ys.mean(), 0.5 / (1 - ys.mean())) ** 0.5  # halfway to balanced classes
     params = [net.embed, net.filters, net.bias, net.out, np.zeros(1, f32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, half = 0, GROUP * EMBED
+    step = 0
     for epoch in range(EPOCHS):
         rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
         order = rng.permutation(len(samples))
@@ -107,27 +134,11 @@ def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
             rows = order[lo : lo + BATCH]
             own = [parts[r] if len(parts[r]) <= TRAIN_CHUNKS else parts[r][np.sort(rng.choice(len(parts[r]), TRAIN_CHUNKS, replace=False))] for r in rows]
             sizes = np.array([len(p) for p in own])
-            chunks, ends = np.concatenate(own), np.cumsum(sizes)
-            starts, doc = ends - sizes, np.repeat(np.arange(len(rows)), sizes)
-            z, at, groups = net.pooled(chunks)
-            mean, most = np.add.reduceat(z, starts, axis=0) / sizes[:, None], np.maximum.reduceat(z, starts, axis=0)
-            h = np.concatenate([mean, most], 1).astype(f32)
-            p = 1 / (1 + np.exp(-np.clip(h @ net.out + params[4][0], -30, 30)))
-            g = ((p - ys[rows]) * weight[rows] / len(rows)).astype(f32)
-            gh = g[:, None] * net.out
-            gz = gh[doc, :FILTERS] / sizes[doc][:, None] + gh[doc, FILTERS:] * (z == most[doc])
-            gz = np.where(z > 0, gz, 0).astype(f32)
-            who, which = np.nonzero(gz)
-            where, value = at[who, which], gz[who, which]
-            window = np.concatenate([groups[who, where], groups[who, where + 1]], 1)
-            gf = np.zeros_like(net.filters)
-            np.add.at(gf.T, which, value[:, None] * window)
-            ge_rows = chunks[who[:, None], where[:, None] * GROUP + np.arange(2 * GROUP)].ravel()
-            ge_values = (value[:, None] * net.filters.T[which]).reshape(-1, EMBED)
-            ge = np.stack([np.bincount(ge_rows, ge_values[:, k], 257) for k in range(EMBED)], 1)
-            ge[PAD] = 0
+            chunks = np.concatenate(own)
+            net.base = float(params[4][0])
+            grads, _ = gradients(net, chunks, sizes, ys[rows], weight[rows])
             step += 1
-            for k, grad in enumerate((ge, gf, gz.sum(0), g @ h + 1e-4 * net.out, g.sum(keepdims=True))):
+            for k, grad in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.99 * v[k] + 0.01 * grad * grad
                 params[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(f32)

@@ -8,7 +8,7 @@ that overflow differently, move.
 
 How far each arc (the keys between two points) overflows depends only on the arcs' row counts, a table as long as the
 ring. Rows are put in ring order by a range partitioning on (arc, key, tie), where the tie splits a text that holds a
-third of all rows; a row's place in that order then gives shard and slot. What reaches the driver is one count per arc
+third of all rows by the id, and equal ids by a row number; a row's place in that order then gives shard and slot. What reaches the driver is one count per arc
 and per partition.
 
 Edge cases: a null text counts as no bytes (size 8, the key of an empty text); repeated rows each get their own slot;
@@ -69,8 +69,8 @@ def bounded_ring(docs: DataFrame, shards: int = 24, vnodes: int = 64, id_col: st
             arc = np.searchsorted(positions, batch.column(3).to_numpy()) % len(positions)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc.astype(np.int32))], ["id", "size", "crc", "key", "arc"])
 
-    placed = rows.mapInArrow(arcs, "id long, size long, crc long, key long, arc int").withColumn("tie", F.xxhash64(F.lit(5), "id"))
-    ordered = placed.repartitionByRange("arc", "key", "tie").sortWithinPartitions("arc", "key", "tie", "id")
+    placed = rows.mapInArrow(arcs, "id long, size long, crc long, key long, arc int").withColumn("tie", F.xxhash64(F.lit(5), "id")).withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("arc", "key", "tie", "row").sortWithinPartitions("arc", "key", "tie", "id", "row")
     ordered = written(ordered.select("id", "size", "crc", "arc", F.monotonically_increasing_id().alias("place")), "ring")
     part = F.shiftright("place", 33)
     counts = np.zeros(len(positions), np.int64)

@@ -218,13 +218,28 @@ def test_embedding_links_equal_brute_force(spark):
     for i in range(len(x)):
         assert by_id[i].n_links <= near[i].sum() - 1
     assert all(by_id[i].n_links == 0 and by_id[i].component_id == i and by_id[i].kept for i in range(9001, 9007))
-    want = components_by_force([(i, frozenset()) for i in range(1)], 1)
-    assert want == {0: 0}
+    links = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    parent = list(range(len(x)))
+    for i, j in links * 2:  # small ids win; twice over ordered links settles these groups
+        least = min(parent[i], parent[j])
+        parent[i] = parent[j] = least
+    assert all(parent[i] == parent[j] for i, j in links)
+    assert np.mean([by_id[i].component_id == parent[i] and by_id[i].kept == (parent[i] == i) for i in range(len(x))]) >= 0.97
+    assert np.mean([by_id[i].n_links == near[i].sum() - 1 for i in range(len(x))]) >= 0.97
     assert got[0].audit_recall >= 0.97
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding.near_duplicate_vectors(empty).count() == 0
 
 
+def test_embedding_compares_vectors_of_every_length(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 3)) + [9, 0, 0])] + [(100, [1.0, 2.0]), (101, [2.0, 4.0]), (102, [-2.0, 1.0]), (103, [1.0])]
+    got = {r.vec_id: r for r in embedding.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in (100, 101, 102, 103)] == [(1, 100), (1, 100), (0, 102), (0, 103)]
+    x = embedding.unit(np.array([v for _, v in rows[:40]]))
+    assert [got[i].n_links for i in range(40)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+
+
 def test_embedding_effort_rises_on_recall_alone(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
@@ -473,6 +488,35 @@ def test_sharding_is_balanced_gapless_and_keeps_copies_together(spark, documents
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_sharding_equals_a_walk_of_single_rows(spark):
+    """Rows wait at their arcs; in round k those that wait try the shard k points on, arc by arc in ring order."""
+    rows = [(i, f"text {i % 90}") for i in range(400)] + [(i, "hot") for i in range(400, 700)] + [(7, "same row")] * 60 + [(None, None)] * 5
+    docs = frame(spark, rows)
+    got = sharding.bounded_ring(docs, shards=5, vnodes=8).collect()
+    key = {r.text: r.key % sharding.SPACE for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) as key").distinct().collect()}
+    positions, owner = sharding.ring(5, 8)
+    by_key = Counter(key[t] for _, t in rows)
+    room = [len(rows) // 5 + (s < len(rows) % 5) for s in range(5)]
+    waiting = [(int(np.searchsorted(positions, k)) % 40, k) for k in by_key for _ in range(by_key[k])]
+    waiting, want, hop = sorted(waiting), Counter(), 0
+    while waiting:
+        after = []
+        for arc, k in waiting:
+            s = int(owner[(arc + hop) % 40])
+            if room[s]:
+                room[s] -= 1
+                want[k, s] += 1
+            else:
+                after.append((arc, k))
+        waiting, hop = after, hop + 1
+    crc = {k: zlib.crc32((t or "").encode()) for t, k in key.items()}
+    assert Counter((r.text_crc32, r.shard) for r in got) == Counter({(crc[k], s): n for (k, s), n in want.items()})
+    for shard in range(5):  # equal texts of a shard that come from one walk stand in adjacent slots
+        slots = [r.text_crc32 for r in sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)]
+        assert sum(a != b for a, b in itertools.pairwise(slots)) + 1 <= len(set(slots)) + 8
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+
+
 def test_ring_overflow_goes_clockwise_and_a_new_shard_moves_little():
     positions, owner = sharding.ring(4, 1)
     counts = np.array([10, 0, 0, 2])
@@ -511,6 +555,40 @@ def test_quality_gradient_held_out_accuracy_and_edges(spark):
     assert quality.fit([]).score(["x", None]) == [0.5, 0.5]
 
 
+def test_network_equals_plain_loops_and_numeric_gradients():
+    net = quality.fit([("clean words here " * 60, 1), ("### $$$ ### " * 70, 0)] * 4)
+    for text in ("", "short", "words and ### " * 120):
+        pooled = []
+        for chunk in quality.chunks_of(text.encode()):
+            e = [net.embed[b] for b in chunk]
+            best = np.full(quality.FILTERS, -np.inf)
+            for at in range(0, quality.CHUNK - quality.GROUP, quality.GROUP):
+                window = np.concatenate(e[at : at + 2 * quality.GROUP])
+                best = np.maximum(best, [sum(float(a) * float(b) for a, b in zip(window, f, strict=True)) for f in net.filters.T])
+            pooled.append(np.maximum(best + net.bias, 0))
+        x = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)]) @ net.out + net.base
+        assert abs(net.score([text])[0] - 1 / (1 + np.exp(-x))) < 1e-4
+    rng = np.random.default_rng(1)
+    for name in ("embed", "filters", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.train = True
+    parts = [quality.chunks_of(t.encode()) for t in ("words and ### " * 120, "other", "clean text of some length " * 30)]
+    chunks, sizes, y, weight = np.concatenate(parts), np.array([len(p) for p in parts]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    grads, _ = quality.gradients(net, chunks, sizes, y, weight)
+    for name, grad in zip(("embed", "filters", "bias", "out"), grads, strict=False):
+        values = getattr(net, name)
+        for flat in rng.choice(values.size, 12, replace=False):
+            at = np.unravel_index(flat, values.shape)
+            if name == "embed" and at[0] == quality.PAD:
+                continue
+            old, loss = values[at], []
+            for step in (1e-6, -1e-6):
+                values[at] = old + step
+                loss.append(quality.gradients(net, chunks, sizes, y, weight)[1])
+            values[at] = old
+            assert abs((loss[0] - loss[1]) / 2e-6 - grad[at]) < 1e-4 * (1 + abs(grad[at])), (name, at)
+
+
 def test_chunks_cover_all_bytes():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         data = bytes(i % 251 for i in range(n))
@@ -539,11 +617,11 @@ def test_chat_round_trip_and_digests(spark):
 
 
 def test_chat_parts_become_ordered_placeholders(spark):
-    parts = [("image", None, "s3://a.png", 28, 15, None, None), ("text", "see <|image|>", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.5, None), ("document", None, "c.pdf", None, None, None, 3)]
+    parts = [("image", None, "a.png", 28, 15, None, None), ("text", "see <|image|>", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.5, None), ("document", None, "c.pdf", None, None, None, 3)]
     df = spark.createDataFrame([(1, 0, "user", "hi ", parts), (1, 1, "assistant", None, None)], f"conv_id long, turn long, role string, text string, parts array<{chat.PART}>")
     row = chat.format_turns(df, parts_col="parts").where("turn = 0").collect()[0]
     assert row.segment == "<|turn|>user<|text|>hi <|image|>see <\\|image|><|audio|><|document|><|end|>"
-    assert [(a.number, a.type, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "s3://a.png", 4), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 768)]
+    assert [(a.number, a.type, a.ref, a.tokens) for a in row.attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 768)]
     assert row.expanded_tokens == 3 + 62 + 767
 
 
