@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpline.plans import files_queries, text_queries
+from kelpline.plans import answer_queries, files_queries, text_queries
 
-QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
+QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES, **answer_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL}
