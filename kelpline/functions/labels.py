@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -182,12 +184,7 @@ def first_sentence(text: Column | str) -> Column:
 def _denied(comment: Column, phrases: list[str]) -> Column:
     whole = F.upper(F.coalesce(comment, F.lit("")))
     first = F.coalesce(F.nullif(first_sentence(whole), F.lit("")), whole)
-    found = F.lit(False)
-    for p in DENIALS:
-        found = found | whole.contains(p)
-    for p in phrases:
-        found = found | first.contains(p)
-    return found
+    return F.regexp_like(whole, F.lit("|".join(map(re.escape, DENIALS)))) | F.regexp_like(first, F.lit("|".join(map(re.escape, phrases))))
 
 
 def relevant(has_answer: Column | str, comment: Column | str, strict: bool = True) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.functions.paths import col
@@ -16,10 +16,10 @@ _IP = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9
 # Fixed values: (pattern, replacement) of the log rules.
 LOG_RULES: list[tuple[str, str]] = [
     (r"""(?i)((?:api[-_]?key|apikey|x-api-key)\s*[=:]\s*["']?)([a-zA-Z0-9_-]{16,})(["']?)""", "$1[REDACTED]$3"),
-    (r"(?i)(bearer\s+)([a-zA-Z0-9_.-]+)", "$1[REDACTED]"),
+    (r"(?i)(bearer\s+)([a-zA-Z0-9_\-.]+)", "$1[REDACTED]"),
     (r"""(?i)(authorization\s*[=:]\s*)["']?([^"'>\s]+)["']?""", "$1[REDACTED]"),
     (r"""(?i)(password|passwd|pwd|pass)\s*[=:]\s*["']?([^\s"'&]+)["']?""", "$1=[REDACTED]"),
-    (r"""(?i)(secret|token|access_token|refresh_token|client_secret)\s*[=:]\s*["']?([a-zA-Z0-9_.-]{8,})["']?""", "$1=[REDACTED]"),
+    (r"""(?i)(secret|token|access_token|refresh_token|client_secret)\s*[=:]\s*["']?([a-zA-Z0-9_\-.]{8,})["']?""", "$1=[REDACTED]"),
     (r"\beyJ[a-zA-Z0-9_-]*\.eyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]*\b", "[JWT_REDACTED]"),
     (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "[EMAIL_REDACTED]"),
     (r"\b(?:\d{4}[-\s]?){3,4}\d{1,4}\b", "[CARD_REDACTED]"),
@@ -35,7 +35,7 @@ EXPORT_RULES: list[tuple[str, str]] = [
     (r"(?i)X-API-Key\s*:\s*[^\s]+", "X-API-Key: [REDACTED]"),
     (r"(?i)Bearer\s+[A-Za-z0-9._-]+", "Bearer [REDACTED]"),
     (r"(?i)\btoken\b\s*[:=]\s*[^\s]+", "token=[REDACTED]"),
-    (r"eyJ[A-Za-z0-9_=-]+\.eyJ[A-Za-z0-9_=-]+\.?[A-Za-z0-9_.+/=-]*", "[JWT_TOKEN]"),
+    (r"eyJ[A-Za-z0-9-_=]+\.eyJ[A-Za-z0-9-_=]+\.?[A-Za-z0-9-_.+/=]*", "[JWT_TOKEN]"),
     (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[EMAIL]"),
     (r"([?&][^=\s]+)=([^&\s]+)", "$1=[REDACTED]"),
     (r"""(?:[A-Za-z]:\\[^\s"']+|/(?:Users|home|var|private|etc|opt|Library|Volumes)/[^\s"']+)""", "[PATH]"),
@@ -68,6 +68,16 @@ def redaction_counts(text: Column | str, rules: list[tuple[str, str]]) -> Column
     return F.array(*counts)
 
 
+def redacted(rows: DataFrame, text: str, rules: list[tuple[str, str]], counts: str) -> DataFrame:
+    """``rows`` with the redacted ``text`` and the number of replacements as ``counts``; a projection a rule, so no rule is
+    applied twice. A null text stays null and counts none."""
+    out = rows.withColumn(counts, F.lit(0).cast("long"))
+    for pattern, replacement in rules:
+        found = F.coalesce(F.regexp_count(F.col(text), F.lit(pattern)), F.lit(0))
+        out = out.withColumns({counts: F.col(counts) + found, text: F.regexp_replace(text, pattern, replacement)})
+    return out
+
+
 def redact_user(text: Column | str, user: str) -> Column:
     """Hide a user's name in home folder paths of three systems."""
     if not user:

@@ -105,8 +105,11 @@ def largest_files(files: DataFrame, n: int = 10) -> DataFrame:
 def month_highlights(files: DataFrame) -> DataFrame:
     """For each month: the most frequent folder with a meaningful name, and the largest file of 1 KB or more, first from
     folders that are not generic; null where there is none."""
-    rows = files.where("modified_at is not null").select((F.month("modified_at") - 1).alias("month"), "path", "size", meaningful_folder(parent("path")).alias("folder"), F.array_contains(words(GENERIC_FOLDERS), F.coalesce(F.get(segments("path"), F.size(segments("path")) - 2), F.lit(""))).alias("generic"))
-    folders = rows.where(~F.array_contains(words(GENERIC_FOLDERS), F.col("folder"))).groupBy("month", "folder").agg(F.count("*").alias("n"))
+    rows = files.where("modified_at is not null").select((F.month("modified_at") - 1).alias("month"), "path", "size", parent("path").alias("folder_path"))
+    # names belong to folders, so the distinct ones are named, after their files are counted
+    counted = rows.groupBy("month", "folder_path").agg(F.count("*").alias("n")).select("month", "n", meaningful_folder("folder_path").alias("folder"))
+    folders = counted.where(~F.array_contains(words(GENERIC_FOLDERS), F.col("folder"))).groupBy("month", "folder").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("generic", F.array_contains(words(GENERIC_FOLDERS), F.coalesce(F.get(segments("path"), F.size(segments("path")) - 2), F.lit(""))))
     top = folders.groupBy("month").agg(F.min(F.struct((-F.col("n")).alias("minus"), "folder")).alias("f"))
     notable = rows.where("size > 1024 or size = 1024 and not generic").groupBy("month").agg(F.min(F.struct("generic", (-F.col("size")).alias("minus"), "path")).alias("g"))
     months = rows.groupBy("month").agg(F.count("*").alias("files"))

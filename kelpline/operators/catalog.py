@@ -37,19 +37,21 @@ def matches_any(files: DataFrame, items: DataFrame, keys: list[tuple[Column, Col
 
 
 def deepest_folder(files: DataFrame, folders: DataFrame, folder_of: Column, path_col: str = "folder_path", row_key: str = "path") -> DataFrame:
-    """(row_key, folder_path): the most specific registered folder above every file; null if there is none. A file's
-    ancestors are joined by equality, a linear form of the prefix join."""
-    rows = files.select(F.col(row_key), F.explode_outer(ancestors(folder_of)).alias("_at"))
+    """(row_key, folder_path) of every file: the most specific registered folder above it; null if there is none. Ancestors
+    belong to folders, so those of the distinct ones are joined by equality, a linear form of the prefix join."""
+    own = files.select(F.col(row_key), folder_of.alias("_own"))
+    rows = own.select("_own").distinct().select("_own", F.explode(ancestors("_own")).alias("_at"))
     known = folders.select(F.col(path_col).alias("_folder")).distinct()
-    hit = rows.join(known, F.col("_at") == F.col("_folder"), "left")
-    return hit.groupBy(row_key).agg(F.max_by("_folder", F.length("_folder")).alias(path_col))
+    hit = rows.join(known, F.col("_at") == F.col("_folder")).groupBy("_own").agg(F.max_by("_folder", F.length("_folder")).alias(path_col))
+    return own.join(hit, "_own", "left").select(row_key, path_col)
 
 
 def inside_any(files: DataFrame, folders: DataFrame, folder_of: Column, path_col: str = "folder_path", row_key: str = "path") -> DataFrame:
     """Files inside a registered folder, at segment borders."""
-    rows = files.select(F.col(row_key).alias("_row"), F.explode(ancestors(folder_of)).alias("_at"))
-    found = rows.join(folders.select(F.col(path_col).alias("_folder")).distinct(), F.col("_at") == F.col("_folder"), "left_semi").select("_row").distinct()
-    return files.join(found, F.col(row_key) == F.col("_row"), "left_semi")
+    own = files.withColumn("_own", folder_of)
+    rows = own.select("_own").distinct().select(F.col("_own").alias("_inside"), F.explode(ancestors("_own")).alias("_at"))
+    found = rows.join(folders.select(F.col(path_col).alias("_folder")).distinct(), F.col("_at") == F.col("_folder"), "left_semi").select("_inside").distinct()
+    return own.join(found, F.col("_own") == F.col("_inside"), "left_semi").drop("_own")
 
 
 def folder_counters(files: DataFrame, queue: DataFrame, folders: DataFrame) -> DataFrame:

@@ -60,8 +60,7 @@ def _counts_sql() -> str:
 
 @query(_counts_sql())
 def redaction_counts(spark, sf_dir):
-    counts = redaction.redaction_counts("html", redaction.EXPORT_RULES)
-    return table(spark, sf_dir, "pages").select("page_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b).alias("redactions"))
+    return redaction.redacted(table(spark, sf_dir, "pages").select("page_id", "html"), "html", redaction.EXPORT_RULES, "redactions").select("page_id", "redactions")
 
 
 @query("select c_custkey, regexp_replace(regexp_replace('/Users/u' || c_custkey % 9 || '/x /home/u3/y C:\\Users\\u3\\z /Users/u33/', '/Users/u3/', '/Users/[USER]/', 'g'), '/home/u3/', '/home/[USER]/', 'g').replace('C:\\Users\\u3\\', 'C:\\Users\\[USER]\\') as path from customer")

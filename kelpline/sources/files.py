@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.labels import kind_of
 from kelpline.functions.paths import base_name, excluded, extension, hidden, origin, parent
-from kelpline.functions.redaction import redact, redaction_counts
+from kelpline.functions.redaction import redact, redacted
 
 
 def list_files(spark: SparkSession, roots: list[str], modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
@@ -50,11 +50,13 @@ def ndjson(spark: SparkSession, path: str, schema: str, stream: bool = False) ->
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("x"), "value").where(F.try_parse_json("value").isNotNull()).select("x.*")
 
 
-def sse(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
-    """(event, data fields) of server-sent events: blocks parted by blank lines, ``event:`` and ``data:`` lines in each.
+def sse(spark: SparkSession, path: str, schema: str, stream: bool = False, line_end: str = "\n") -> DataFrame:
+    """(event, data fields) of server-sent events: blocks parted by blank lines, ``event:`` and ``data:`` lines in each, that
+    end in ``line_end`` (``\\r\\n`` for streams that use it).
 
     Several data lines of one block are joined; blocks without data are left out."""
-    blocks = (spark.readStream if stream else spark.read).format("text").option("lineSep", "\n\n").load(path)
+    blocks = (spark.readStream if stream else spark.read).format("text").option("lineSep", line_end * 2).load(path)
+    blocks = blocks.select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
     data = F.array_join(F.regexp_extract_all("value", F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n")
     event = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^event: ?(.*)$", 1), F.lit("")), F.lit("message"))
     return blocks.select(event.alias("event"), data.alias("d")).where("d <> ''").select("event", F.from_json("d", schema).alias("x")).select("event", "x.*")
@@ -77,9 +79,12 @@ def coalesced(rows: DataFrame, fields: dict[str, tuple[str, ...]], defaults: dic
 
 
 def export_redacted(rows: DataFrame, text: str, rules: list[tuple[str, str]], path: str) -> DataFrame:
-    """Write redacted lines as compressed text; gives one row (lines, redactions), counted from the source."""
-    rows.select(redact(text, rules).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
-    return rows.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.aggregate(redaction_counts(text, rules), F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("redactions"))
+    """Write redacted lines as compressed text; gives one row (lines, redactions), counted while writing."""
+    seen = Observation()
+    found = redacted(rows.select(F.col(text).alias("value")), "value", rules, "_n")
+    found = found.observe(seen, F.count("*").alias("lines"), F.coalesce(F.sum("_n"), F.lit(0)).alias("redactions"))
+    found.select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    return rows.sparkSession.createDataFrame([(seen.get["lines"], seen.get["redactions"])], "lines long, redactions long")
 
 
 def redact_struct(rows: DataFrame, column: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -167,7 +167,7 @@ def test_streamed_answers_keep_state_across_batches(spark, tmp_path):
 
 
 def test_new_files_and_upserts_as_streams(spark, folder):
-    q = jobs.upsert_batches(jobs.new_files(spark, str(folder / "in"), 2), str(folder / "out"), "path", str(folder / "cp"))
+    q = jobs.upsert_batches(jobs.new_files(spark, str(folder / "in"), 2), str(folder / "out"), "path", "modified_at", str(folder / "cp"))
     q.awaitTermination(120)
     last = max((folder / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
     assert spark.read.parquet(str(last)).count() == 4
