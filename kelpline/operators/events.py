@@ -2,7 +2,8 @@
 
 ``events`` has (session, seq, type, data) with JSON in ``data``; ``seq`` orders a session's events. The fold is a set of
 window sums and grouped aggregates: texts join in order, the last status counts, and hits become rows of a reference
-table, so a session of any length needs no state that holds all of it. Every event of a batch is read (none is lost
+table. ``messages`` joins a session's text in one row, so one answer must fit a task's memory. Steps are in
+``operators/answers.py``. Every event of a batch is read (none is lost
 after an early status). Sessions without events give no row; events with broken JSON count as null fields."""
 
 from __future__ import annotations
