@@ -9,8 +9,8 @@ escaped reversibly: backslashes are doubled, and a single backslash goes after t
 segments in turn order as a stream with the state of one conversation at a time.
 
 Edge cases: a null text is an empty text, a null role an empty role, a null list of parts no parts; an empty
-conversation table gives an empty result; very long texts are escaped in linear time; ties of turn are ordered by role
-and text, null turns come first; repeated rows are repeated turns; rows with a null conversation id form one
+conversation table gives an empty result; very long texts are escaped in linear time; ties of turn are ordered by the
+formatted turn (role, then text, as escaped), null turns come first; repeated rows are repeated turns; rows with a null conversation id form one
 conversation; only the columns named are read.
 """
 
