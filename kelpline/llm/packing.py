@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.bpe import MEMORY, encoder
-from kelpline.llm.common import slices, written
+from kelpline.llm.common import slices, turn_of, written
 
 LENGTH = 4096
 GROUP_ROWS = 4000
@@ -159,6 +159,7 @@ def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, set
 
     def group(before: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            turn_of("packing")  # the encoder's words are not needed any more
             base = (before + int(pdf["_group"].iloc[0])) << 24
             pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
             lengths = pdf["length"].to_numpy()
