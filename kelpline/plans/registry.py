@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpline.plans import answer_queries, files_queries, record_queries, text_queries
+from kelpline.plans import answer_queries, files_queries, overview_queries, record_queries, text_queries
 
-QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES, **answer_queries.QUERIES, **record_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
+QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES, **answer_queries.QUERIES, **record_queries.QUERIES, **overview_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **overview_queries.ORACLE_SQL}
