@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices, turn_of
+from kelpline.llm.common import resting, slices, turn_of
 
 #: Entries of a worker's memories; a full one is emptied but for what is used just then, which changes no result.
 MEMORY = 700_000
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 columns.append(pa.array(map(bpe.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(resting(run), schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -336,5 +336,5 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
         for batch in slices(batches, "ids"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(resting(run), f"id {kind}, text string")
     return out.withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -91,22 +92,61 @@ class Marks:
         return (self.flags.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+#: After so many seconds without a task a worker releases what it remembers.
+IDLE_SECONDS = 1.0
+
 _held: dict[str, Callable[[], object]] = {}
+_lock = threading.Lock()
+_turns = 0
+
+
+def _release(names: list[str]) -> None:
+    for name in names:
+        _held.pop(name)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def turn_of(operator: str, release: Callable[[], object] = lambda: None) -> None:
     """Called in a worker when a task of ``operator`` begins. Spark uses Python workers again for other stages, so what they
     remember belongs to one operator at a time: the memories of the others are released and given back to the system."""
-    others = [name for name in _held if name != operator]
-    for name in others:
-        _held.pop(name)()
-    _held[operator] = release
-    if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    global _turns
+    with _lock:
+        _turns += 1
+        others = [name for name in _held if name != operator]
+        if others:
+            _release(others)
+        _held[operator] = release
+
+
+def task_ends() -> None:
+    """Called in a worker when a task ends. Spark may leave the worker idle and give the next tasks to others, so its memories
+    are released if no task begins in ``IDLE_SECONDS``."""
+    own = _turns
+
+    def let_go() -> None:
+        with _lock:
+            if own == _turns:
+                _release(list(_held))
+
+    timer = threading.Timer(IDLE_SECONDS, let_go)
+    timer.daemon = True
+    timer.start()
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as the function of a task after which its worker rests."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            task_ends()
+
+    return task
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices, turn_of
+from kelpline.llm.common import resting, slices, turn_of
 
 TRAIN_DOCS, WINDOW, WINDOWS_PER_DOC, EPOCHS, BATCH = 1500, 24, 12, 3, 256
 BUCKETS, CHAIN, MEMORY = 1 << 17, 256, 300_000
@@ -188,7 +188,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             found = [windows_of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.list_(pa.string())))], ["id", "l", "windows"])
 
-    cuts = sample.mapInArrow(cut, "id string, l string, windows array<array<string>>").collect()  # at most 288 words of a text
+    cuts = sample.mapInArrow(resting(cut), "id string, l string, windows array<array<string>>").collect()  # at most 288 words of a text
     return fit_windows([(r.windows, r.l) for r in sorted(cuts, key=lambda r: (r.id or "", r.l, r.windows))])
 
 
@@ -234,4 +234,4 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
             found = predict_texts(model, batch.column(1).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]], ["row", "lang_pred", "score", "confidence"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, lang_pred string, score double, confidence double")
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(resting(run), f"row {kind}, lang_pred string, score double, confidence double")

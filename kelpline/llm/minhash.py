@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import Marks, discard, slices, turn_of, written
+from kelpline.llm.common import Marks, discard, resting, slices, turn_of, written
 from kelpline.llm.components import components
 
 BANDS, ROWS = 30, 7
@@ -117,7 +117,7 @@ def _sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys.append(band_keys(s, bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "key", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary, bands array<long>")
+    return docs.mapInArrow(resting(run), "id long, n long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 found = [shingle_set(x, words).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], ["key", "s"])
 
-    found = docs.select(marks.place("id").alias("place"), "text").mapInArrow(run, "key binary, s binary")
+    found = docs.select(marks.place("id").alias("place"), "text").mapInArrow(resting(run), "key binary, s binary")
     return found.dropDuplicates(["key"]).join(wanted.select("key", "c"), "key").select("c", "s")
 
 
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(resting(run), "a long, b long")
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             elements = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(elements)), list(map(len, elements))))), pa.array(np.concatenate(elements))], ["c", "e"])
 
-    held = sets.join(members.select("c"), "c", "left_semi").mapInArrow(run, "c long, e long")
+    held = sets.join(members.select("c"), "c", "left_semi").mapInArrow(resting(run), "c long, e long")
     often = held.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
     kept = held.join(often, "e").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("known"))
     first = members.join(kept, "c").withColumn("alone", F.col("n") - F.size("known"))
@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["row", "id", "key"])
 
     shape = f"row {row.schema['row'].dataType.simpleString()}, id long, key binary"
-    again = row.join(several, same, "left_semi").mapInArrow(digest, shape)
+    again = row.join(several, same, "left_semi").mapInArrow(resting(digest), shape)
     kept = fate.where("stays and key is not null").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
     chosen = again.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").dropDuplicates(["key"])
     return alone.union(chosen.select("row.*")).union(again.where("key is null").select("row.*"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.bpe import MEMORY, encoder
-from kelpline.llm.common import slices, turn_of, written
+from kelpline.llm.common import resting, slices, task_ends, turn_of, written
 
 LENGTH = 4096
 GROUP_ROWS = 4000
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, len
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return source.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(resting(run), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def _sequences(packed: DataFrame) -> int:
@@ -168,6 +168,7 @@ def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, set
             for number, items in enumerate(bins):
                 ends = np.cumsum(lengths[items])
                 sequence[items], offset[items], fill[items] = base + number, ends - lengths[items], ends[-1]
+            task_ends()
             return pdf.drop(columns="_group").assign(sequence_id=sequence, offset=offset, sequence_fill=fill)
 
         return run

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import slices, turn_of
+from kelpline.llm.common import resting, slices, turn_of
 
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 6, 10, 48
 CHUNK, OVERLAP, GROUP, EMBED, FILTERS = 512, 64, 4, 4, 24
@@ -165,5 +165,5 @@ def predict(docs: DataFrame, net: Net, text_col: str = "text", threshold: float
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(batch.column(1).to_pylist()), pa.float64())], ["row", "score"])
 
-    found = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, score double")
+    found = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(resting(run), f"row {kind}, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

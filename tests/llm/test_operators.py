@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -78,6 +79,20 @@ def test_a_worker_keeps_the_memory_of_one_operator():
     assert released == ["one", "two"]
 
 
+def test_an_idle_worker_releases_its_memory_and_a_busy_one_keeps_it(monkeypatch):
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.2)
+    released = []
+    task = common.resting(lambda batches: (x for x in batches))
+    common.turn_of("one", lambda: released.append("one"))
+    assert list(task(iter([1, 2]))) == [1, 2]
+    common.turn_of("one", lambda: released.append("one"))  # the next task begins in time
+    time.sleep(0.5)
+    assert released == []
+    assert list(task(iter([3]))) == [3]
+    time.sleep(0.5)
+    assert released == ["one"] and not common._held
+
+
 def components_by_force(sets, percent):
     parent = {i: i for i, _ in sets}
 
