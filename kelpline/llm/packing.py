@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.bpe import MEMORY, encoder
-from kelpline.llm.common import resting, slices, task_ends, turn_of, written
+from kelpline.llm.common import SLICE_BYTES, resting, slices, task_ends, turn_of, written
 
 LENGTH = 4096
 GROUP_ROWS = 4000
@@ -129,12 +129,12 @@ def pack_group(lengths: list[int], size: int) -> list[list[int]]:
     return full + [[rest[i] for i in items] for items in bins.items if items]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, length: int, end_id: int, memory: int = MEMORY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, length: int, end_id: int, memory: int = MEMORY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): documents as pieces of at most ``length`` tokens; ``row`` tells rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = encoder(tokenizer_path, memory), np.uint32(end_id).astype("<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             rows = []
             for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), bpe.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -189,8 +189,8 @@ def pack(found: DataFrame, size: int = LENGTH, group_rows: int = GROUP_ROWS, set
         rest = ends.drop("sequence_id", "offset", "sequence_fill")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 1, memory: int = MEMORY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 1, memory: int = MEMORY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document. ``memory`` bounds the
-    words that an encoder remembers; it changes time, not results."""
-    found = written(pieces(docs, tokenizer_path, id_col, text_col, length, end_id, memory), "pieces")
+    words that an encoder remembers and ``slice_bytes`` the text it takes at once; both change time and memory, not results."""
+    found = written(pieces(docs, tokenizer_path, id_col, text_col, length, end_id, memory, slice_bytes), "pieces")
     return pack(found, length).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").withColumnRenamed("doc_id", id_col)

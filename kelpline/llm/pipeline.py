@@ -20,6 +20,8 @@ from kelpline.llm.queries import language_model, quality_model, tokenizer
 CONFIDENCE = 0.5
 #: Words that the encoder remembers in a worker, fewer than alone: here executors also keep the heap of shuffles before it.
 ENCODER_MEMORY = 250_000
+#: Bytes of text that the encoder takes at once, fewer than alone for the same reason.
+ENCODER_SLICE = 1 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 4096 tokens. A null text has the end token alone; repeated rows and rows
     with a null id are packed each; an empty table gives no sequence."""
-    return packing.pack_documents(docs, tokenizer(), memory=ENCODER_MEMORY)
+    return packing.pack_documents(docs, tokenizer(), memory=ENCODER_MEMORY, slice_bytes=ENCODER_SLICE)
 
 
 STAGES = [
