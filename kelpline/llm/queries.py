@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import bpe, chat, embedding, language, licenses, minhash, packing, quality, rules, sharding
+from kelpline.llm import bpe, chat, divergence, embedding, language, licenses, merkle, minhash, packing, quality, rules, sharding, windows
 from kelpline.llm.common import table
 from kelpline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -77,6 +77,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    received = [F.translate("text", merkle.UPPER, merkle.LOWER) if c == "text" else F.col(c) for c in fields]
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(docs, fields, tampered=received, when=struck)
+    root = merkle.folded(F.coalesce("tampered_leaf", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(table(spark, sf_dir, "documents"), tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -88,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
+    "op13_windows": op13_windows,
 }
