@@ -5,8 +5,8 @@ at a document's end for nothing, at a sentence's end for ``SENTENCE`` tokens, an
 at every ``GRID``-th token for ``INSIDE`` tokens. A window costs its padding up to ``size`` as well, but none where its length
 is a power of two. The cuts of least cost (then of fewest windows) come from one pass over the possible cuts: the cheapest
 window that ends at a cut begins at a minimum over the cuts at most ``size`` tokens before, which a monotone queue keeps,
-or a power of two before. A sentence ends at a line end, or after . ! or ? before a space; in a text whose words the encoder
-can't tell apart (odd characters), only where encoding its sentences one by one gives the same ids.
+or a power of two before. A sentence ends after a word's last character if that is . ! or ?, or at a line end behind a word; in a
+text with characters for which words can't be encoded one by one, only if encoding its sentences one by one gives the same ids.
 
 Neither texts nor ids move between tasks: the encoder's pass keeps of each document the places where it may be cut and the
 checksum up to each, from which the checksum of any piece follows. Tasks get runs of documents by a range partitioning on
@@ -20,18 +20,22 @@ empty table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import array
+import functools
 import itertools
+import os
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.bpe import WordBpe, _plain, encoder
-from kelpline.llm.common import resting, slices, written
+from kelpline.llm.bpe import LONGEST, _plain
+from kelpline.llm.common import resting, slices, turn_of, written
 
 SIZE = 2048
 #: What a cut costs, in tokens of padding.
@@ -40,7 +44,15 @@ SENTENCE, INSIDE = 8, 64
 LONG, GRID = 256, 64
 #: Tokens of one run (a task's share) and of one block of the search.
 RUN_TOKENS, BLOCK_TOKENS = 8_000_000, 400_000
+#: Words that a worker remembers; when full, those of the slice at hand stay.
+MEMORY = 1_500_000
 _POLYNOMIAL = 0xEDB88320
+#: Stands for a line end behind a word; texts that hold it, other line ends or special tokens are encoded whole.
+_LINE = "\x01 "
+_OWN = re.compile("[\x01\x85\xa0]|<\\|")
+_ENDS = ".!?\x01"
+_SIGNS = ".,;:!?#$%&*\x01"
+_MARK = 1 << 31
 
 
 def sentences(text: str) -> list[str]:
@@ -49,63 +61,101 @@ def sentences(text: str) -> list[str]:
 
 
 class Cutter:
-    """Encodes texts and gives the places where they may be cut."""
-
-    def __init__(self, bpe: WordBpe, end_id: int):
-        self.bpe = bpe
-        self.end = np.uint32(end_id).astype("<u4").tobytes()
-
-    def places(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
-        """For each text the ends (in tokens) of its parts and the checksum of its ids up to each; the end id is the last. An end
-        inside a sentence is given as a negative number."""
-        lower = [t.lower() if t and _plain(t) and "<|" not in t and "\x85" not in t and "\xa0" not in t else None for t in texts]
-        words: set[str] = set().union(*(t.split() for t in lower if t is not None))
-        self.bpe.encode([" ".join(words)])  # the encoder knows the slice's words now, but for very long ones
-        get, rest = self.bpe.chunks.get, {}
-        for text, plain in zip(texts, lower, strict=True):
-            if plain is None:
-                yield self._cut(self._odd_parts(text or ""))
-                continue
-            parts = []
-            for sentence in sentences(plain):
-                found = list(map(get, sentence.split()))
-                if None in found:
-                    found = [self._word(w, rest) for w in sentence.split()]
-                parts.append(b"".join(found))
-            yield self._cut(parts)
-
-    def _word(self, word: str, rest: dict[str, bytes]) -> bytes:
-        found = self.bpe.chunks.get(word) or rest.get(word)
-        if found is None:
-            found = rest[word] = self.bpe.encode([word])[0]
-        return found
-
-    def _odd_parts(self, text: str) -> list[bytes]:
-        parts, whole = self.bpe.encode(sentences(text)), self.bpe.encode([text])[0]
-        return parts if b"".join(parts) == whole else [whole]
-
-    def _cut(self, parts: list[bytes]) -> tuple[list[int], list[int]]:
-        ends, sums, at, crc = [], [], 0, 0
-        for part in parts:
-            if not part:
-                continue
-            if len(part) > 4 * LONG:
-                for k in range(4 * GRID, len(part), 4 * GRID):
-                    crc = zlib.crc32(part[k - 4 * GRID : k], crc)
-                    ends.append(-(at + k // 4))
-                    sums.append(crc)
-                k = (len(part) - 1) // (4 * GRID) * 4 * GRID
-                crc = zlib.crc32(part[k:], crc)
+    """Encodes texts with the tokenizers library and gives the places where they may be cut. Ids of words (runs without
+    whitespace) are remembered; the last id of a word that ends a sentence carries a mark, so a text's cuts come from its ids."""
+
+    def __init__(self, path: str, end_id: int, memory: int = MEMORY):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.end = np.array([end_id], "<u4")
+        vocab = self.library.get_vocab()
+        self.word_ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.memory = memory
+        self.known: dict[str, bytes] = {}
+
+    def places(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the ends (in tokens) of its parts and the checksum of its ids up to each; the end id is in the last
+        part. An end inside a sentence is given as a negative number."""
+        lower = [t.lower().replace("\n", _LINE).split() if t and _plain(t) and not _OWN.search(t) else None for t in texts]
+        words: set[str] = set().union(*(x for x in lower if x is not None))
+        self._learn(words)
+        get = self.known.__getitem__
+        for text, parts in zip(texts, lower, strict=True):
+            yield self._cut(np.frombuffer(b"".join(map(get, parts)), "<u4") if parts is not None else self._odd(text or ""))
+        for word in words:
+            if len(word) > LONGEST:
+                del self.known[word]
+
+    def _encoded(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of distinct words. Those of letters alone are encoded as one text, whose word ends show in the ids."""
+        out: dict[str, list[int]] = {}
+        letters, rest = [], []
+        for word in words:
+            (letters if word.isalpha() else rest).append(word)
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                out.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
             else:
-                crc = zlib.crc32(part, crc)
-            at += len(part) // 4
-            ends.append(at)
+                rest.extend(part)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            out.update((w, e.ids) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.memory:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        # letters and the signs behind them are words of their own to the library, so what words share is encoded once
+        bases = {w: base for w in new if (base := w.rstrip(_SIGNS)) != w and base.isalpha()}
+        signs = self._encoded({w[len(base) :].rstrip("\x01") for w, base in bases.items()})
+        found = self._encoded({w for w in (*bases.values(), *(w.rstrip("\x01") for w in new if w not in bases)) if w not in self.known})
+        for word in new:
+            base = bases.get(word, word.rstrip("\x01"))
+            ids = array.array("I", found[base] if base in found else self.known[base])
+            if word in bases:
+                ids.extend(signs[word[len(base) :].rstrip("\x01")])
+            if ids and word[-1] in _ENDS:
+                ids[-1] |= _MARK
+            self.known[word] = ids.tobytes()
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Marked ids of a text whose words the library doesn't take one by one."""
+        whole = self.library.encode(text, add_special_tokens=False).ids
+        parts = [self.library.encode(s, add_special_tokens=False).ids for s in sentences(text)]
+        ids = np.array(whole, "<u4")
+        if list(itertools.chain.from_iterable(parts)) == whole:
+            ends = np.cumsum([len(p) for p in parts if p], dtype=np.int64)
+            ids[ends - 1] |= np.uint32(_MARK)
+        return ids
+
+    def _cut(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(ids)
+        ends = np.flatnonzero(ids[: max(0, n - 1)] >> np.uint32(31)) + 1
+        ends = np.append(ends, n + 1)
+        gaps = np.diff(ends, prepend=0)
+        if gaps.max() > LONG:
+            inside = [np.arange(e - g + GRID, e, GRID) for e, g in zip(ends.tolist(), gaps.tolist(), strict=True) if g > LONG]
+            ends = np.concatenate([ends, *(-x for x in inside)])
+            ends = ends[np.argsort(np.abs(ends))]
+        data = memoryview(np.append(ids & np.uint32(_MARK - 1), self.end).tobytes())
+        at, crc, sums = 0, 0, []
+        for end in (4 * np.abs(ends)).tolist():
+            crc = zlib.crc32(data[at:end], crc)
             sums.append(crc)
-        crc = zlib.crc32(self.end, crc)
-        if ends:  # the end id belongs to the last part
-            ends[-1], sums[-1] = at + 1, crc
-            return ends, sums
-        return [1], [crc]
+            at = end
+        return ends, np.array(sums, np.uint32)
+
+
+@functools.lru_cache(maxsize=1)
+def _cutter(path: str, end_id: int) -> Cutter:
+    return Cutter(path, end_id)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,12 +283,13 @@ def cut_places(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     """(doc_id, row, tokens, ends, sums): where each document may be cut and its checksum up to each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(encoder(tokenizer_path), end_id)
+        turn_of("windows", _cutter.cache_clear)
+        cutter = _cutter(tokenizer_path, end_id)
         for batch in slices(batches, "text"):
             found = list(cutter.places(batch.column(1).to_pylist()))
             sizes = np.cumsum([0, *(len(e) for e, _ in found)]).astype(np.int32)
-            ends = np.fromiter(itertools.chain.from_iterable(e for e, _ in found), np.int32, sizes[-1])
-            sums = np.fromiter(itertools.chain.from_iterable(s for _, s in found), np.uint32, sizes[-1]).view(np.int32)
+            ends = np.concatenate([e for e, _ in found]).astype(np.int32)
+            sums = np.concatenate([s for _, s in found]).view(np.int32)
             tokens = ends[sizes[1:] - 1].astype(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, pa.int32())) for x in (ends, sums)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens), *lists], ["doc_id", "row", "tokens", "ends", "sums"])
