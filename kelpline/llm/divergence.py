@@ -1,8 +1,8 @@
 """Operator 12: how far the sources of a language differ in their terms, counted in mergeable radix tries.
 
 A term is a run of ASCII letters and non-ASCII characters, with A-Z lower-cased. Each task counts the terms of its partition
-in byte tries, one for each language, whose leaves hold a counter for each source (occurrences and documents). A trie that
-reaches ``most`` counters is written out and begun anew. The tries are merged by prefix range: their leaves are range
+in byte tries, one for each language, whose leaves hold the documents with the term and a counter of occurrences for each source. Tries
+that reach ``most`` counters are written out and begun anew. They are merged by prefix range: their leaves are range
 partitioned in UTF-8 order, a task merges a range in segments of ``most`` counters and drops terms in too few documents of
 the language. With the totals known, a traversal of each segment in UTF-8 order streams the pairs' sums and each source's
 best candidates, whose ties are in the order of the traversal.
@@ -42,16 +42,21 @@ SOURCES = 1000
 #: Lower-cases A-Z, keeps a-z and the bytes of non-ASCII characters, makes everything else a space.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-Leaf = dict[str, list[int]]
+class Leaf:
+    """What a trie knows of a term: the documents that hold it, and its occurrences by source."""
+
+    __slots__ = ("documents", "occurrences")
+
+    def __init__(self) -> None:
+        self.documents = 0
+        self.occurrences: dict[str, int] = {}
 
 
 class Trie:
-    """A radix trie over bytes. A node is [children by first byte, leaf]; a child is [edge, node]; a leaf has a counter of
-    (occurrences, documents) for each source."""
+    """A radix trie over bytes. A node is [children by first byte, leaf]; a child is [edge, node]."""
 
     def __init__(self) -> None:
         self.root: list = [{}, None]
-        self.counters = 0
 
     def leaf(self, term: bytes) -> Leaf:
         """The leaf of a term, made if need be; an edge that parts from the term on its way is split."""
@@ -69,23 +74,15 @@ class Trie:
                 edge = child[0]
             at, node = at + len(edge), child[1]
         if node[1] is None:
-            node[1] = {}
+            node[1] = Leaf()
         return node[1]
 
-    def add(self, term: bytes, source: str, occurrences: int, documents: int) -> None:
-        leaf = self.leaf(term)
-        counter = leaf.get(source)
-        if counter is None:
-            leaf[source] = [occurrences, documents]
-            self.counters += 1
-        else:
-            counter[0] += occurrences
-            counter[1] += documents
-
     def merge(self, other: Trie) -> None:
         for term, leaf in other.walk():
-            for source, (occurrences, documents) in leaf.items():
-                self.add(term, source, occurrences, documents)
+            own = self.leaf(term)
+            own.documents += leaf.documents
+            for source, n in leaf.occurrences.items():
+                own.occurrences[source] = own.occurrences.get(source, 0) + n
 
     def walk(self) -> Iterator[tuple[bytes, Leaf]]:
         """Terms and leaves in the order of their bytes."""
@@ -97,46 +94,60 @@ class Trie:
             stack.extend((term + node[0][c][0], node[0][c][1]) for c in sorted(node[0], reverse=True))
 
 
-def counted(rows: Iterable[tuple[str, str, bytes]]) -> dict[str, Trie]:
-    """Tries by language of (lang, source, text) rows. The root's leaf counts a source's documents."""
-    occurrences: dict[tuple[str, str], Counter] = {}
-    documents: dict[tuple[str, str], Counter] = {}
+def counted(rows: Iterable[tuple[str, str, bytes]], tries: dict[str, Trie]) -> int:
+    """Count the terms of (lang, source, text) rows in tries by language; gives the number of counters that it set. The leaf of
+    the empty term, at a root, lists a language's sources."""
+    occurrences: dict[str, dict[str, Counter]] = {}
+    documents: dict[str, Counter] = {}
     for lang, source, text in rows:
         terms = text.translate(_TERMS).split()
-        occurrences.setdefault((lang, source), Counter()).update(terms)
-        documents.setdefault((lang, source), Counter({b"": 0})).update({b"", *terms})
-    tries: dict[str, Trie] = {}
-    for (lang, source), found in documents.items():
-        trie, counts = tries.setdefault(lang, Trie()), occurrences[lang, source]
-        for term in sorted(found):
-            trie.add(term, source, counts[term], found[term])
-    return tries
+        occurrences.setdefault(lang, {}).setdefault(source, Counter({b"": 0})).update(terms)
+        documents.setdefault(lang, Counter({b"": 0})).update(set(terms))
+    counters = 0
+    for lang, found in documents.items():
+        trie = tries.setdefault(lang, Trie())
+        leaves: dict[bytes, dict[str, int]] = {}
+        for term, n in found.items():
+            leaf = trie.leaf(term)
+            leaf.documents += n
+            leaves[term] = leaf.occurrences
+        for source, counts in occurrences[lang].items():
+            counters += len(counts)
+            for term, n in counts.items():
+                leaf = leaves[term]
+                leaf[source] = leaf.get(source, 0) + n
+    return counters
 
 
-def _batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(pa.string()) if f.name == "term" else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+_COUNTS = "lang string, term string, documents long, sources array<string>, occurrences array<long>"
+_KEPT = "lang string, segment long, term string, source string, occurrences long"
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("occurrences", pa.int64()), ("documents", pa.int64())])
-_KEPT = pa.schema([("lang", pa.string()), ("segment", pa.int64()), ("term", pa.string()), ("source", pa.string()), ("occurrences", pa.int64())])
+def _terms(column: list[bytes]) -> pa.Array:
+    return pa.array(column, pa.binary()).cast(pa.string())
 
 
 def _leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    rows = [(lang, term, source, *counter) for lang in sorted(tries) for term, leaf in tries[lang].walk() for source, counter in leaf.items()]
-    for at in range(0, len(rows), 50_000):
-        yield _batch(_COUNTS, list(map(list, zip(*rows[at : at + 50_000], strict=True))))
+    """Rows of ``_COUNTS``, in order of (lang, term)."""
+    for lang in sorted(tries):
+        walk = tries[lang].walk()
+        while part := list(itertools.islice(walk, 20_000)):
+            ends = pa.array(np.cumsum([0, *(len(leaf.occurrences) for _, leaf in part)]), pa.int32())
+            sources = pa.array([s for _, leaf in part for s in leaf.occurrences], pa.string())
+            counts = pa.array([n for _, leaf in part for n in leaf.occurrences.values()], pa.int64())
+            columns = [pa.array([lang] * len(part), pa.string()), _terms([t for t, _ in part]), pa.array([leaf.documents for _, leaf in part], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)], ["lang", "term", "documents", "sources", "occurrences"])
 
 
 def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Leaves of the tries of (lang, source, text) batches."""
     held: dict[str, Trie] = {}
+    counters = 0
     for batch in slices(batches, "text", 8 << 20):
-        columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-        for lang, trie in counted(zip(*columns, strict=True)).items():
-            held.setdefault(lang, Trie()).merge(trie)
-        if sum(t.counters for t in held.values()) >= most:
+        counters += counted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True), held)
+        if counters >= most:
             yield from _leaves(held)
-            held = {}
+            held, counters = {}, 0
     yield from _leaves(held)
 
 
@@ -147,21 +158,31 @@ def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST)
 
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 33
-    trie, lang_of, last = Trie(), None, None
+    trie, lang_of, last, leaf, counters = Trie(), None, None, None, 0
 
     def kept() -> Iterator[pa.RecordBatch]:
-        rows = [(lang_of, number, term, source, counter[0]) for term, leaf in trie.walk() if not term or sum(c[1] for c in leaf.values()) >= least for source, counter in leaf.items()]
-        for at in range(0, len(rows), 50_000):
-            yield _batch(_KEPT, list(map(list, zip(*rows[at : at + 50_000], strict=True))))
+        walk = ((term, source, n) for term, leaf in trie.walk() if not term or leaf.documents >= least for source, n in leaf.occurrences.items())
+        while part := list(itertools.islice(walk, 50_000)):
+            terms, sources, counts = zip(*part, strict=True)
+            columns = [pa.array([lang_of] * len(part), pa.string()), pa.array([number] * len(part), pa.int64()), _terms(list(terms)), pa.array(sources, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "segment", "term", "source", "occurrences"])
 
     for batch in batches:
-        terms = batch.column(1).cast(pa.binary()).to_pylist()
-        for lang, term, source, occurrences, documents in zip(batch.column(0).to_pylist(), terms, *(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            if lang != lang_of or term != last and trie.counters >= most:
-                yield from kept()
-                trie, number = Trie(), number + 1
-            lang_of, last = lang, term
-            trie.add(term, source, occurrences, documents)
+        lists = batch.column(3)
+        ends, sources, counts = lists.offsets.to_pylist(), lists.values.to_pylist(), batch.column(4).values.to_pylist()
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), ends, ends[1:], strict=False)
+        for lang, term, documents, start, stop in rows:
+            if lang != lang_of or term != last:
+                if lang != lang_of or counters >= most:
+                    yield from kept()
+                    trie, number, counters = Trie(), number + 1, 0
+                lang_of, last, leaf = lang, term, trie.leaf(term)
+            leaf.documents += documents
+            own = leaf.occurrences
+            counters -= len(own)
+            for source, n in zip(sources[start:stop], counts[start:stop], strict=True):
+                own[source] = own.get(source, 0) + n
+            counters += len(own)
     yield from kept()
 
 
@@ -189,7 +210,7 @@ def compare_segment(lang: str, block: int, kept: Iterable[tuple[bytes, str, int]
     own = [k for k, t in enumerate(totals) if t[2] == block]
     trie = Trie()
     for term, source, occurrences in kept:
-        trie.add(term, source, occurrences, 0)
+        trie.leaf(term).occurrences[source] = occurrences
     sums = np.zeros((len(own), len(names)), np.int64)
     best: list[list[tuple[int, int, bytes]]] = [[] for _ in own]
     walk, order = trie.walk(), 0
@@ -200,8 +221,8 @@ def compare_segment(lang: str, block: int, kept: Iterable[tuple[bytes, str, int]
             break
         counts = np.zeros((len(leaves), len(names)), np.int64)
         for r, (_, leaf) in enumerate(leaves):
-            for source, counter in leaf.items():
-                counts[r, place[source]] = counter[0]
+            for source, n in leaf.occurrences.items():
+                counts[r, place[source]] = n
         p, q = shares(counts + SMOOTHING, whole), shares(counts.sum(axis=1) + SMOOTHING, all_of_lang)
         for k, s in enumerate(own):
             sums[k] += np.abs(p - p[:, s : s + 1]).sum(axis=0)
@@ -217,9 +238,9 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, la
     """(lang, source, part, item, value, rank): part ``pair`` ranks the other sources of the language by the sum of differences
     of shares over all kept terms, part ``term`` the ``top`` terms whose share lies most above the language's."""
     empty = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    counts = written(docs.select(*empty).mapInArrow(lambda b: count_terms(b, most), "lang string, term string, source string, occurrences long, documents long"), "divergence-tries")
+    counts = written(docs.select(*empty).mapInArrow(lambda b: count_terms(b, most), _COUNTS), "divergence-tries")
     ordered = counts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    merged = written(ordered.mapInArrow(lambda b: merge_terms(b, least, most), "lang string, segment long, term string, source string, occurrences long"), "divergence-kept")
+    merged = written(ordered.mapInArrow(lambda b: merge_terms(b, least, most), _KEPT), "divergence-kept")
     groups, kept = merged.where("term = ''").select("lang", "source").distinct(), merged.where("term <> ''")
     occurring = kept.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))
     sizes = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
@@ -227,6 +248,11 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, la
     totals = written(totals.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")), "divergence-totals")
     blocks = 1 + (totals.groupBy("lang").count().agg(F.max("count")).first()[0] or 0) // sources
     dealt = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    # segments follow the partitions; what is kept of neighbours goes together, up to about ``most`` counters
+    pieces = kept.groupBy("lang", F.col("segment").alias("piece")).agg(F.count("*").alias("counters"))
+    before = F.coalesce(F.sum("counters").over(Window.partitionBy("lang").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = written(pieces.select("piece", F.floor(before / most).cast("long").alias("segment")), "divergence-segments")
+    kept = kept.withColumnRenamed("segment", "piece").join(pieces, "piece").select("lang", "segment", "term", "source", "occurrences")
     segments = kept.select("lang", "segment").distinct().unionByName(totals.select("lang", F.lit(-1).cast("long").alias("segment")).distinct())
     known = totals.withColumn("own", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).join(segments, "lang").select("*", dealt)
     known = known.select(F.col("lang").alias("of"), F.col("segment").alias("range"), F.col("block").alias("share"), "source", "n", "own", "v")

@@ -132,18 +132,19 @@ def test_tries_merge_split_and_walk_in_byte_order():
     pick = random.Random(1)
     terms = [bytes(pick.choices(b"ab\xc3\xa9\xff", k=pick.randint(0, 6))) for _ in range(2000)] + [b"x" * n for n in range(2000)]
     tries = [divergence.Trie() for _ in range(3)]
+    want, documents = Counter(), Counter()
     for k, term in enumerate(terms):
-        tries[k % 3].add(term, f"s{k % 5}", k, 1)
+        leaf = tries[k % 3].leaf(term)
+        leaf.documents += 1
+        leaf.occurrences[f"s{k % 5}"] = leaf.occurrences.get(f"s{k % 5}", 0) + k
+        want[term, f"s{k % 5}"] += k
+        documents[term] += 1
     for other in tries[1:]:
         tries[0].merge(other)
-    want = defaultdict(lambda: [0, 0])
-    for k, term in enumerate(terms):
-        want[term, f"s{k % 5}"][0] += k
-        want[term, f"s{k % 5}"][1] += 1
     walked = list(tries[0].walk())
     assert [t for t, _ in walked] == sorted(set(terms))
-    assert {(t, s): c for t, leaf in walked for s, c in leaf.items()} == want
-    assert tries[0].counters == len(want)
+    assert {(t, s): n for t, leaf in walked for s, n in leaf.occurrences.items()} == dict.fromkeys(want, 0) | want
+    assert {t: leaf.documents for t, leaf in walked} == documents
 
 
 def test_shares_are_exact():
