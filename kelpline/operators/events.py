@@ -66,7 +66,7 @@ def references(events: DataFrame) -> DataFrame:
     verdict = "struct<index:long,chunk_id:string,has_answer:boolean,comment:string,confidence:double>"
     one = events.where("type = 'chunk_progress'").select("session", "seq", F.array(F.from_json(F.get_json_object("data", "$.chunk_result"), verdict)).alias("v"))
     many = events.where("type = 'chunk_analysis'").select("session", "seq", F.from_json("data", f"array<{verdict}>").alias("v"))
-    verdicts = one.union(many).select("session", "seq", F.explode("v").alias("v")).where("v is not null").select("session", "seq", "v.*")
+    verdicts = one.union(many).select("session", "seq", F.posexplode("v").alias("at", "v")).where("v is not null").select("session", F.struct("seq", "at").alias("seq"), "v.*")
     placed = plain.withColumn("place", F.col("position")).withColumn("position", F.coalesce("index", "position"))
     judged = judge(placed, verdicts, ["session"])
     return judged.withColumn("position", F.col("place")).drop("place").select(plain.columns)

@@ -57,6 +57,52 @@ def resumed_references(spark, sf_dir):
     return answers.resumed_references(_made(spark, sf_dir, _KNOWN, "lineitem"), _made(spark, sf_dir, _NEW, "lineitem"))
 
 
+#: Stored hits, and events of resumed answers: an event of every line.
+_STOPPED = """select o_custkey % 60 as session, row_number() over (partition by o_custkey % 60 order by o_orderkey) as position, concat('f', o_orderkey % 20) as file_id, case when o_orderkey % 5 > 0 then concat('c', o_orderkey % 300) end as chunk_id, case when o_orderkey % 3 = 0 then o_orderkey % 2 = 0 end as has_answer from orders"""
+_RESUMED = """select l_orderkey % 61 as session, (((l_orderkey * 10 + l_linenumber) * 200000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity as bigint) as seq,
+case l_linenumber when 1 then 'hits' when 2 then 'subquery_hits' when 3 then 'chunk_progress' when 4 then 'chunk_analysis' when 5 then case when l_orderkey % 400 = 7 then 'multi_path_start' else 'token' end when 6 then 'status' else 'user_decision_required' end as type,
+case l_linenumber when 1 then concat('[{"file_id": "f', l_partkey % 40, '", "chunk_id": "c', l_partkey % 700, '", "score": 0.5}, {"file_id": "f', l_suppkey % 40, '"}]')
+ when 2 then concat('{"sub_query_index": 1, "hits": [{"file_id": "g", "chunk_id": "d', l_partkey % 90, '"}]}')
+ when 3 then concat('{"current_file": "x", "chunk_result": {"index": ', l_partkey % 50, ', "chunk_id": "c', l_partkey % 700, '", "has_answer": ', case when l_quantity > 25 then 'true' else 'false' end, '}}')
+ when 4 then concat('[{"index": ', l_suppkey % 400, ', "chunk_id": "c', l_partkey % 700, '", "has_answer": true}]') when 6 then concat('code', l_partkey % 5) when 7 then concat('{"resume_token": "t', l_partkey, '"}') else concat(l_partkey, ' ') end as data from lineitem"""
+
+
+def stopped(rows: DataFrame) -> DataFrame:
+    """Stored messages of stored hits: even sessions were multi-path runs."""
+    hit = F.struct("position", "file_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("long").alias("index"), "has_answer", F.lit(None).cast("string").alias("comment"), F.lit(None).cast("double").alias("confidence"))
+    return rows.groupBy("session").agg(F.sort_array(F.collect_list(hit)).alias("references")).selectExpr("session", "'stored ' as text", "session % 2 = 0 as is_multi", "'t' as resume_token", "references")
+
+
+@query(f"""with st as ({_STOPPED}), s as (select distinct session, session % 2 = 0 as is_multi from st), e as ({_RESUMED}),
+l as (select session, seq, type, case type when 'hits' then cast(data as json[]) when 'subquery_hits' then cast(cast(data as json) -> 'hits' as json[]) else [] end as hits from e where type in ('hits', 'subquery_hits', 'multi_path_start')),
+r as (select session, cast(-1 as bigint) as seq, case when is_multi then 'multi_path_start' else 'stored' end as type, [] as hits from s union all select l.* from l semi join s using (session)),
+m as (select *, max(cast(type = 'multi_path_start' as int)) over (partition by session order by seq) as multi from r), n as (select *, sum(cast(type = 'hits' and multi = 0 as int)) over (partition by session order by seq) as era from m),
+k as (select * from n qualify era = max(era) over (partition by session)),
+x as (select session, seq, type = 'hits' and multi = 1 as merges, generate_subscripts(hits, 1) as pl, unnest(hits) as h from k where len(hits) > 0),
+h as (select session, seq, merges, pl, h ->> 'file_id' as file_id, h ->> 'chunk_id' as chunk_id, cast(null as boolean) as has_answer from x union all select session, -1, false, position, file_id, chunk_id, has_answer from st where exists (select 1 from k where k.session = st.session and k.seq = -1)),
+f as (select *, row_number() over (partition by session order by seq, pl) as position from (select * from h qualify not merges or min(seq) over (partition by session, coalesce(chunk_id, file_id)) = seq)),
+v as (select session, seq, type, case type when 'chunk_progress' then cast(data as json) -> 'chunk_result' else cast(data as json) -> 0 end as j from e where type in ('chunk_progress', 'chunk_analysis')),
+u as (select session, seq, type, j ->> 'chunk_id' as chunk_id, cast(j ->> 'index' as bigint) as position, cast(j ->> 'has_answer' as boolean) as a from v),
+pc as (select session, chunk_id, max(seq) as cs, arg_max(a, seq) as ca from u where type = 'chunk_progress' group by 1, 2), pp as (select session, position, max(seq) as ps, arg_max(a, seq) as pa from u where type = 'chunk_progress' group by 1, 2),
+fc as (select session, chunk_id, arg_min(a, seq) as fca from u where type = 'chunk_analysis' group by 1, 2), fp as (select session, position, arg_min(a, seq) as fpa from u where type = 'chunk_analysis' group by 1, 2)
+select session, position, file_id, chunk_id, case when ps is null and cs is null then coalesce(has_answer, fca, fpa) when ps is null or cs >= ps then ca else pa end as has_answer
+from f left join pc using (session, chunk_id) left join pp using (session, position) left join fc using (session, chunk_id) left join fp using (session, position)""")
+def continued_references(spark, sf_dir):
+    stored = stopped(_made(spark, sf_dir, _STOPPED, "orders"))
+    found = answers.continued_references(stored, _made(spark, sf_dir, _escaped(_RESUMED), "lineitem"))
+    return found.select("session", "position", "file_id", "chunk_id", "has_answer")
+
+
+@query(f"""with s as (select distinct session from ({_STOPPED})), e as ({_RESUMED}), m as (select session, string_agg(data, '' order by seq) filter (where type = 'token') as text, bool_or(type = 'multi_path_start') as multi, bool_or(type = 'user_decision_required') as decides,
+ arg_max(case when type = 'user_decision_required' then cast(data as json) ->> 'resume_token' end, seq) as token, max(seq) filter (where type not in ('token', 'multi_path_start', 'chunk_analysis')) as last from e group by 1),
+n as (select m.*, case e.type when 'hits' then 'Found 2 sources' when 'subquery_hits' then 'Sub-query 1: Found 1 sources' when 'chunk_progress' then 'Analyzing x...' when 'status' then e.data else 'Waiting for confirmation...' end as meta from m left join e on e.session = m.session and e.seq = m.last)
+select session, sha256('stored ' || coalesce(text, '')) as text, meta, session % 2 = 0 or coalesce(multi, false) as is_multi, coalesce(decides, false) as needs_decision, token as resume_token from s left join n using (session)""")
+def continued_messages(spark, sf_dir):
+    stored = stopped(_made(spark, sf_dir, _STOPPED, "orders"))
+    found = answers.continued_messages(stored, _made(spark, sf_dir, _escaped(_RESUMED), "lineitem"))
+    return found.withColumn("text", F.sha2("text", 256))
+
+
 _HITS = "select o_custkey % 60 as session, row_number() over (partition by o_custkey % 60 order by o_orderkey) as position, case when o_orderkey % 3 > 0 then concat('c', o_orderkey) end as chunk_id from orders"
 _JUDGED = """select p_partkey % 60 as session, p_partkey as seq, case when p_partkey % 4 = 0 then 'chunk_analysis' else 'chunk_analysis_item' end as type,
 concat(case when p_partkey % 4 = 0 then '[' else '' end, '{"index": ', p_size, ', "chunk_id": "c', p_partkey * 3, '", "has_answer": ', case when p_size > 25 then 'true' else 'false' end, ', "confidence": ', p_size / 100.0, '}', case when p_partkey % 4 = 0 then concat(', {"index": ', p_size + 1, ', "has_answer": true, "confidence": 0.5}, {"index": ', p_size, ', "has_answer": true, "confidence": 0.25}]') else '' end) as data from part"""

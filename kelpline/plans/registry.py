@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kelpline.plans import answer_queries, files_queries, overview_queries, record_queries, text_queries
+from kelpline.plans import answer_queries, files_queries, overview_queries, record_queries, scan_queries, text_queries
 
-QUERIES: dict = {**files_queries.QUERIES, **text_queries.QUERIES, **answer_queries.QUERIES, **record_queries.QUERIES, **overview_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**files_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **answer_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **overview_queries.ORACLE_SQL}
+_MODULES = (files_queries, text_queries, answer_queries, record_queries, overview_queries, scan_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -1,13 +1,9 @@
-"""Structured Streaming forms: windowed counts, micro-batch scans, upserts, and a stateful answer fold."""
+"""Structured Streaming forms: windowed counts, micro-batch scans and upserts; answer streams are in ``answers``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kelpline.functions.paths import base_name, extension
 
@@ -56,26 +52,3 @@ def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoin
         latest.write.mode("overwrite").parquet(target)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def answer_fold(events: DataFrame) -> DataFrame:
-    """(session, text, hits, done): an answer stream folded by session across batches, one row per session and batch.
-
-    State is a session's text so far and two numbers. Events (session, seq, type, data) must reach a batch in order of
-    their files; within a batch they are ordered by ``seq``."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, hits, done = state.get if state.exists else ("", 0, False)
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.type in ("token", "done"):
-                text += row.data or ""
-                done = done or row.type == "done"
-            elif row.type == "error":
-                text += f"\n[Error: {row.data}]"
-            elif row.type == "hits":
-                hits += 1
-        state.update((text, hits, done))
-        yield pd.DataFrame({"session": [key[0]], "text": [text], "hits": [hits], "done": [done]})
-
-    kind = events.schema["session"].dataType.simpleString()
-    return events.groupBy("session").applyInPandasWithState(fold, f"session {kind}, text string, hits long, done boolean", "text string, hits long, done boolean", "update", GroupStateTimeout.NoTimeout)

@@ -153,19 +153,6 @@ def test_streamed_minute_counts_equal_the_batch(spark, tmp_path):
     assert got == {(r.start, r.events) for r in jobs.minute_counts(batch).collect()}
 
 
-def test_streamed_answers_keep_state_across_batches(spark, tmp_path):
-    parts = [[("s", 1, "token", "a"), ("t", 1, "hits", "[]")], [("s", 2, "token", "b"), ("s", 3, "done", None)]]
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, "session string, seq int, type string, data string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("session string, seq int, type string, data string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.answer_fold(source).writeStream.format("memory").queryName("answers").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    last = {}
-    for r in spark.table("answers").collect():
-        last[r.session] = max(last.get(r.session, ("", 0, False)), (r.text, r.hits, r.done))
-    assert last == {"s": ("ab", 0, True), "t": ("", 1, False)}
-
-
 def test_new_files_and_upserts_as_streams(spark, folder):
     q = jobs.upsert_batches(jobs.new_files(spark, str(folder / "in"), 2), str(folder / "out"), "path", "modified_at", str(folder / "cp"))
     q.awaitTermination(120)
