@@ -19,10 +19,12 @@ table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
+import gc
 import heapq
 import itertools
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ SMOOTHING = 5
 LEAST_DOCUMENTS = 30
 TOP = 50
 #: Counters of a task's tries at most, unless one term has more.
-MOST = 200_000
+MOST = 600_000
 #: Sources whose pairs one task sums.
 SOURCES = 1000
 #: Lower-cases A-Z, keeps a-z and the bytes of non-ASCII characters, makes everything else a space.
@@ -53,26 +55,32 @@ class Leaf:
 
 
 class Trie:
-    """A radix trie over bytes. A node is [children by first byte, leaf]; a child is [edge, node]."""
+    """A radix trie over bytes. A node is [edge that leads to it, its leaf, its children by first byte], the last two or None."""
 
     def __init__(self) -> None:
-        self.root: list = [{}, None]
+        self.root: list = [b"", None, None]
 
     def leaf(self, term: bytes) -> Leaf:
         """The leaf of a term, made if need be; an edge that parts from the term on its way is split."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[0].get(term[at])
+        node, at, size = self.root, 0, len(term)
+        while at < size:
+            children = node[2]
+            if children is None:
+                children = node[2] = {}
+            child = children.get(term[at])
             if child is None:
-                node[0][term[at]] = child = [term[at:], [{}, None]]
+                children[term[at]] = node = [term[at:], None, None]
+                break
             edge = child[0]
-            if not term.startswith(edge, at):
+            if term.startswith(edge, at):
+                at += len(edge)
+            else:
                 same = 1
-                while same < len(edge) and at + same < len(term) and edge[same] == term[at + same]:
+                while same < len(edge) and at + same < size and edge[same] == term[at + same]:
                     same += 1
-                child[:] = [edge[:same], [{edge[same]: [edge[same:], child[1]]}, None]]
-                edge = child[0]
-            at, node = at + len(edge), child[1]
+                child[:] = [edge[:same], None, {edge[same]: [edge[same:], child[1], child[2]]}]
+                at += same
+            node = child
         if node[1] is None:
             node[1] = Leaf()
         return node[1]
@@ -88,10 +96,12 @@ class Trie:
         """Terms and leaves in the order of their bytes."""
         stack = [(b"", self.root)]
         while stack:
-            term, node = stack.pop()
-            if node[1] is not None:
-                yield term, node[1]
-            stack.extend((term + node[0][c][0], node[0][c][1]) for c in sorted(node[0], reverse=True))
+            before, (edge, leaf, children) = stack.pop()
+            term = before + edge
+            if leaf is not None:
+                yield term, leaf
+            if children is not None:
+                stack.extend([(term, children[c]) for c in (sorted(children, reverse=True) if len(children) > 1 else children)])
 
 
 def counted(rows: Iterable[tuple[str, str, bytes]], tries: dict[str, Trie]) -> int:
@@ -139,11 +149,28 @@ def _leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)], ["lang", "term", "documents", "sources", "occurrences"])
 
 
+def without_cycles(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` without the search for cycles: a trie is many lists and no cycle."""
+
+    @functools.wraps(run)
+    def task(*args: object) -> Iterator[pa.RecordBatch]:
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(*args)
+        finally:
+            if collects:
+                gc.enable()
+
+    return task
+
+
+@without_cycles
 def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Leaves of the tries of (lang, source, text) batches."""
     held: dict[str, Trie] = {}
     counters = 0
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", 16 << 20):
         counters += counted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True), held)
         if counters >= most:
             yield from _leaves(held)
@@ -151,6 +178,7 @@ def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator
     yield from _leaves(held)
 
 
+@without_cycles
 def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Merge leaves that come in order of (lang, term) and keep terms in at least ``least`` documents of their language. The
     empty term stays, it lists the sources. A segment is of one language and ends between terms."""
@@ -248,10 +276,10 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, la
     totals = written(totals.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")), "divergence-totals")
     blocks = 1 + (totals.groupBy("lang").count().agg(F.max("count")).first()[0] or 0) // sources
     dealt = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    # segments follow the partitions; what is kept of neighbours goes together, up to about ``most`` counters
+    # segments follow the partitions; what is kept of neighbours goes together, about an eighth of ``most`` counters
     pieces = kept.groupBy("lang", F.col("segment").alias("piece")).agg(F.count("*").alias("counters"))
     before = F.coalesce(F.sum("counters").over(Window.partitionBy("lang").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = written(pieces.select("piece", F.floor(before / most).cast("long").alias("segment")), "divergence-segments")
+    pieces = written(pieces.select("piece", F.floor(before / (1 + most // 8)).cast("long").alias("segment")), "divergence-segments")
     kept = kept.withColumnRenamed("segment", "piece").join(pieces, "piece").select("lang", "segment", "term", "source", "occurrences")
     segments = kept.select("lang", "segment").distinct().unionByName(totals.select("lang", F.lit(-1).cast("long").alias("segment")).distinct())
     known = totals.withColumn("own", F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")).join(segments, "lang").select("*", dealt)
