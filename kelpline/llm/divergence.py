@@ -38,7 +38,7 @@ SMOOTHING = 5
 LEAST_DOCUMENTS = 30
 TOP = 50
 #: Counters of a task's tries at most, unless one term has more.
-MOST = 600_000
+MOST = 1_000_000
 #: Sources whose pairs one task sums.
 SOURCES = 1000
 #: Lower-cases A-Z, keeps a-z and the bytes of non-ASCII characters, makes everything else a space.
@@ -170,7 +170,7 @@ def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator
     """Leaves of the tries of (lang, source, text) batches."""
     held: dict[str, Trie] = {}
     counters = 0
-    for batch in slices(batches, "text", 16 << 20):
+    for batch in slices(batches, "text", 32 << 20):
         counters += counted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True), held)
         if counters >= most:
             yield from _leaves(held)
@@ -186,10 +186,21 @@ def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST)
 
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 33
-    trie, lang_of, last, leaf, counters = Trie(), None, None, None, 0
+    trie, lang_of, last, documents, counters = Trie(), None, None, 0, 0
+    waiting: list[tuple[list[str], list[int], int, int]] = []  # where the counters of the term at hand stand
+
+    def settle() -> int:
+        """Merge the counters of the term at hand, if it is in enough documents; gives how many they are."""
+        if last is None or last and documents < least:
+            return 0
+        own = trie.leaf(last).occurrences
+        for sources, counts, start, stop in waiting:
+            for source, n in zip(sources[start:stop], counts[start:stop], strict=True):
+                own[source] = own.get(source, 0) + n
+        return len(own)
 
     def kept() -> Iterator[pa.RecordBatch]:
-        walk = ((term, source, n) for term, leaf in trie.walk() if not term or leaf.documents >= least for source, n in leaf.occurrences.items())
+        walk = ((term, source, n) for term, leaf in trie.walk() for source, n in leaf.occurrences.items())
         while part := list(itertools.islice(walk, 50_000)):
             terms, sources, counts = zip(*part, strict=True)
             columns = [pa.array([lang_of] * len(part), pa.string()), pa.array([number] * len(part), pa.int64()), _terms(list(terms)), pa.array(sources, pa.string()), pa.array(counts, pa.int64())]
@@ -199,18 +210,17 @@ def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST)
         lists = batch.column(3)
         ends, sources, counts = lists.offsets.to_pylist(), lists.values.to_pylist(), batch.column(4).values.to_pylist()
         rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), ends, ends[1:], strict=False)
-        for lang, term, documents, start, stop in rows:
+        for lang, term, n, start, stop in rows:
             if lang != lang_of or term != last:
+                counters += settle()
                 if lang != lang_of or counters >= most:
                     yield from kept()
                     trie, number, counters = Trie(), number + 1, 0
-                lang_of, last, leaf = lang, term, trie.leaf(term)
-            leaf.documents += documents
-            own = leaf.occurrences
-            counters -= len(own)
-            for source, n in zip(sources[start:stop], counts[start:stop], strict=True):
-                own[source] = own.get(source, 0) + n
-            counters += len(own)
+                lang_of, last, documents = lang, term, 0
+                waiting.clear()
+            documents += n
+            waiting.append((sources, counts, start, stop))
+    settle()
     yield from kept()
 
 
