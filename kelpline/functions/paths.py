@@ -67,6 +67,15 @@ def under_prefix(path: Column | str, prefixes: list[str], strict_boundary: bool
     return F.when(col(path).isNotNull(), found)
 
 
+def in_places(path: Column | str, fragments: list[str]) -> Column:
+    """Whether a path holds one of the fragments (in lower case, with forward slashes), such as the folders that connectors or
+    activity notes write; a null path holds none."""
+    own, found = F.lower(normalised(F.coalesce(col(path), F.lit("")))), F.lit(False)
+    for fragment in fragments:
+        found = found | own.contains(fragment)
+    return found
+
+
 def excluded(path: Column | str, system: list[str], custom: list[str], recommended: bool = True) -> Column:
     """Excluded directory names and custom prefixes always count, system prefixes only with ``recommended``."""
     return in_excluded_directory(path) | under_prefix(path, custom + (system if recommended else []))

@@ -214,21 +214,3 @@ def cosine_neighbours(spark, sf_dir):
     return listing.nearest_rows(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
-@query(f"""{_NEAR}, l as (select e.label as label, vec_id, row_number() over (partition by label order by vec_id) as rank from embeddings e), k as (select q.vec_id as query, l.vec_id, l.rank from embeddings q join l using (label) where q.vec_id % 100 = 0 and l.rank <= 10),
-u as (select query, vec_id, rank, 'vector' as b from r where rank <= 10 union all select query, vec_id, rank, 'lexical' from k), f as (select query, vec_id, sum(1 / (60 + rank)) as score, count(distinct b) as n, min(b) as b from u group by 1, 2)
-select query, vec_id, round(score, 12) as score, case when n > 1 then 'hybrid' else b end as strategy from (select *, row_number() over (partition by query order by round(score, 12) desc, vec_id) as place from f) where place <= 5""")
-def hybrid_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    asks = rows.where("vec_id % 100 = 0")
-    first = rows.selectExpr("label", "vec_id", "row_number() over (partition by label order by vec_id) as rank").where("rank <= 10")
-    named = asks.selectExpr("vec_id as query", "label").join(first, "label").select("query", "vec_id", "rank")
-    found = listing.hybrid_hits({"vector": listing.nearest_rows(rows, asks, "vec_id", "embedding", 10), "lexical": named}, "vec_id", 5)
-    return found.withColumn("score", F.round("score", 12))
-
-
-@query("select doc_id as file_id, 1.0 as score, 'filename' as stage, 0 as arrival from documents where source = 'src1' union all select doc_id, 0.7, 'summary', 1 from documents where contains(lower(substring(text, 1, 200)), 'license') union all select doc_id, 0.5, 'metadata', 2 from documents where lang = 'fr' union all select doc_id, 0.4, 'hybrid', 3 from documents where contains(lower(text), 'license')")
-def four_stage_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    hits = lambda rows, score: rows.select(F.col("doc_id").alias("file_id"), F.lit(score).alias("score"))
-    summary, whole = F.contains(F.lower(F.substring("text", 1, 200)), F.lit("license")), F.contains(F.lower("text"), F.lit("license"))
-    return retrieval.stages_union([("filename", hits(docs.where("source = 'src1'"), 1.0)), ("summary", hits(docs.where(summary), 0.7)), ("metadata", hits(docs.where("lang = 'fr'"), 0.5)), ("hybrid", hits(docs.where(whole), 0.4))])

@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.operators import scans
+from kelpline.functions import labels, paths
+from kelpline.operators import index, listing, retrieval, scans, trees
 from kelpline.plans.files_queries import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lexical(texts: str, asks: str, limit: int) -> str:
+    """SQL of an inverted search: ``texts`` (doc_id, text) for ``asks`` (query, text); gives common table expressions, the last
+    of which is k (query, doc_id, score, rank)."""
+    return rf"""w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORD}')) as term from ({texts})), i as (select term, doc_id, count(*) as f from w group by 1, 2), n as (select doc_id, count(*) as length from w group by 1),
+c as (select count(*) as n, avg(length) as mean from n), a as (select distinct query, unnest(regexp_extract_all(lower(text), '{_WORD}')) as term from ({asks})),
+d as (select term, ln(1 + (any_value(c.n) - count(*) + 0.5) / (count(*) + 0.5)) as rarity from i, c where term in (select term from a) group by 1),
+s as (select query, doc_id, round(sum(rarity * (f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * length / mean)))), 6) as score from a join d using (term) join i using (term) join n using (doc_id), c group by 1, 2),
+k as (select query, doc_id, score, row_number() over (partition by query order by score desc, doc_id) as rank from s qualify rank <= {limit})"""
+
+
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
@@ -35,3 +49,82 @@ select conv_id, segment, segment * 500 as start, md5(substring(t, segment * 500
 def joined_segments(spark, sf_dir):
     found = scans.joined_segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", "\n", 500)
     return found.select("conv_id", "segment", "start", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"with {_lexical('select doc_id, text from documents', 'select item_id as query, text from benchmark', 10)} select query, doc_id, score, rank from k")
+def inverted_search(spark, sf_dir):
+    asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return index.lexical_search(index.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text"), asks, "doc_id", 10)
+
+
+@query("select item_id as needle_id, doc_id from documents d join benchmark b on contains(lower(coalesce(d.text, '')), lower(substring(b.text, 1, 30)))")
+def substring_matches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.substring("text", 1, 30).alias("needle"))
+    return index.substring_matches(index.gram_index(docs, "doc_id", "text"), docs, needles, "doc_id", "text")
+
+
+_NEAR = """e as (select vec_id, cast(embedding as double[]) as v from embeddings), p as (select q.vec_id as query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 9) as score from e join e q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
+r as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from p)"""
+#: What a row of a hybrid search asks: the first ten words of its document.
+_ASKED = "select doc_id as query, array_to_string(string_split(text, ' ')[1:10], ' ') as text from documents where doc_id % 100 = 0 and text is not null"
+
+
+@query(f"""with {_NEAR}, {_lexical('select doc_id, text from documents', _ASKED, 10)},
+u as (select query, vec_id as doc_id, rank, 'vector' as b from r where rank <= 10 union all select query, doc_id, rank, 'lexical' from k), f as (select query, doc_id, sum(1 / (60 + rank)) as score, count(distinct b) as n, min(b) as b from u group by 1, 2)
+select query, doc_id, round(score, 12) as score, case when n > 1 then 'hybrid' else b end as strategy from (select *, row_number() over (partition by query order by round(score, 12) desc, doc_id) as place from f) where place <= 5""")
+def hybrid_search(spark, sf_dir):
+    rows, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    near = listing.nearest_rows(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).withColumnRenamed("vec_id", "doc_id")
+    asks = docs.where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("text"))
+    found = index.lexical_search(index.inverted_index(docs, "doc_id", "text"), asks, "doc_id", 10)
+    return listing.hybrid_hits({"vector": near, "lexical": found}, "doc_id", 5).withColumn("score", F.round("score", 12))
+
+
+_ONE = "select 1 as query, 'MIT License version' as text"
+_FIRST = r"select doc_id, regexp_extract(text, '^((?s).*?)([.?!]\s|$)', 1) as text from documents"
+
+
+@query(f"""select doc_id as file_id, cast(1.0 as double) as score, 'filename' as stage, 0 as arrival from documents where contains(lower(coalesce(source, '')), 'src1')
+union all select * from (with {_lexical(_FIRST, _ONE, 20)} select doc_id, score, 'summary', 1 from k) union all select doc_id, 0.5, 'metadata', 2 from documents where lang = 'fr'
+union all select * from (with {_lexical('select doc_id, text from documents', _ONE, 20)} select doc_id, score, 'hybrid', 3 from k)""")
+def four_stage_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    asks = spark.createDataFrame([(1, "MIT License version")], "query int, text string")
+    first = docs.select("doc_id", labels.first_sentence("text").alias("text"))
+    ranked = lambda texts: index.lexical_search(index.inverted_index(texts, "doc_id", "text"), asks, "doc_id", 20).select(F.col("doc_id").alias("file_id"), "score")
+    fixed = lambda rows, score: rows.select(F.col("doc_id").alias("file_id"), F.lit(score).alias("score"))
+    named, of_kind = docs.where(retrieval.contains_any("src1", "source")), docs.where("lang = 'fr'")
+    return retrieval.stages_union([("filename", fixed(named, 1.0)), ("summary", ranked(first)), ("metadata", fixed(of_kind, 0.5)), ("hybrid", ranked(docs))])
+
+
+#: Folders with parent links: chains of up to 200, whose ends hang in a wide tree.
+_FOLDERS = "select p_partkey as id, case when p_partkey % 200 <> 1 then p_partkey - 1 when p_partkey > 1 then p_partkey % 13 + 1 end as parent from part"
+
+
+@query(f"""with recursive f as ({_FOLDERS}), s as (select id from f where id % 397 = 5 union select f.id from f join s on f.parent = s.id)
+select l_orderkey, l_linenumber, l_partkey as folder_id from lineitem where l_partkey in (select id from s)""")
+def subtree_files(spark, sf_dir):
+    folders = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "case when p_partkey % 200 <> 1 then p_partkey - 1 when p_partkey > 1 then p_partkey % 13 + 1 end as parent")
+    files = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey as folder_id")
+    return trees.files_below(files, "folder_id", folders, folders.where("id % 397 = 5").select("id")).select("l_orderkey", "l_linenumber", "folder_id")
+
+
+_NAMED = "select p_partkey, p_size as parent, p_partkey % 3 = 0 as is_folder, concat(substring('aAáÁbBäÄzZ_', p_partkey % 11 + 1, 1), case when p_partkey % 2 = 0 then upper(p_brand) else lower(p_brand) end, substring('eEéÉ', p_partkey % 4 + 1, 1)) as name from part"
+
+
+@query(f"select p_partkey, parent, name, row_number() over (partition by parent order by is_folder desc, icu_sort_key(name, 'und'), name, p_partkey) as place from ({_NAMED})")
+def locale_places(spark, sf_dir):
+    rows = spark.sql(_NAMED.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    return trees.locale_places(rows, "parent", "name", "p_partkey", folders_first="is_folder").select("p_partkey", "parent", "name", "place")
+
+
+@query(f"select parent, min(name) as first, count(*) as n from ({_NAMED}) group by parent, lower(strip_accents(name)) having count(*) > 1")
+def same_names(spark, sf_dir):
+    rows = spark.sql(_NAMED.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
+    return trees.same_names(rows, "parent", "name", "p_partkey")
+
+
+@query("select page_id from pages where not (contains(lower(replace(coalesce(url, ''), '\\', '/')), '//blog.') or contains(lower(replace(coalesce(url, ''), '\\', '/')), '/en/'))")
+def outside_places(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(~paths.in_places("url", ["//blog.", "/en/"])).select("page_id")

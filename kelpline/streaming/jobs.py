@@ -1,4 +1,4 @@
-"""Structured Streaming forms: windowed counts, micro-batch scans and upserts; answer streams are in ``answers``."""
+"""Structured Streaming forms: windowed counts and micro-batch scans; answer streams are in ``answers``, upserts in ``tables``."""
 
 from __future__ import annotations
 
@@ -25,30 +25,3 @@ def new_files(spark: SparkSession, path: str, max_files: int = 50) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(path)
     name = base_name("path")
     return raw.select("path", name.alias("name"), extension(name).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Numbers of the complete versions below a folder, of any file system."""
-    context = spark.sparkContext
-    root = context._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(context._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return []
-    return [s.getPath().getName().split("=")[1] for s in system.listStatus(root) if s.getPath().getName().startswith("version=") and system.exists(context._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-
-
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Keep the latest row of every key, by ``order`` and then all columns, as Parquet. A batch is merged with the version of
-    the batch before it into a new version, which a repeated batch writes again; a later batch wins over an earlier one."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, target = batch.sparkSession, f"{path}/version={number}"
-        rest = [c for c in batch.columns if c not in (key, order)]
-        latest = batch.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("x")).select(key, "x.*").select(batch.columns)
-        versions = [int(v) for v in _versions(spark, path) if int(v) < number]
-        if versions:
-            before = spark.read.parquet(f"{path}/version={max(versions)}")
-            latest = before.join(latest.select(key), key, "left_anti").unionByName(latest)
-        latest.write.mode("overwrite").parquet(target)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

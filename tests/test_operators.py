@@ -153,13 +153,6 @@ def test_streamed_minute_counts_equal_the_batch(spark, tmp_path):
     assert got == {(r.start, r.events) for r in jobs.minute_counts(batch).collect()}
 
 
-def test_new_files_and_upserts_as_streams(spark, folder):
-    q = jobs.upsert_batches(jobs.new_files(spark, str(folder / "in"), 2), str(folder / "out"), "path", "modified_at", str(folder / "cp"))
-    q.awaitTermination(120)
-    last = max((folder / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    assert spark.read.parquet(str(last)).count() == 4
-
-
 def test_extensions(spark):
     r = Registry()
     assert r.add(Extension("b", "B", "1", lambda df: df.withColumn("x", F.col("x") * 2), order=2))
