@@ -143,8 +143,8 @@ def _leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
         walk = tries[lang].walk()
         while part := list(itertools.islice(walk, 20_000)):
             ends = pa.array(np.cumsum([0, *(len(leaf.occurrences) for _, leaf in part)]), pa.int32())
-            sources = pa.array([s for _, leaf in part for s in leaf.occurrences], pa.string())
-            counts = pa.array([n for _, leaf in part for n in leaf.occurrences.values()], pa.int64())
+            sources = pa.array(list(itertools.chain.from_iterable(leaf.occurrences for _, leaf in part)), pa.string())
+            counts = pa.array(list(itertools.chain.from_iterable(leaf.occurrences.values() for _, leaf in part)), pa.int64())
             columns = [pa.array([lang] * len(part), pa.string()), _terms([t for t, _ in part]), pa.array([leaf.documents for _, leaf in part], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)], ["lang", "term", "documents", "sources", "occurrences"])
 
