@@ -177,6 +177,10 @@ def upsert_batches(stream: DataFrame, table: KeyedTable, order: str, checkpoint:
     """Keep the latest row of every key of a stream; a later batch wins over an earlier one, a repeated batch changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        table.apply(batch, order, batch=number)
+        batch = batch.persist()  # read several times; what is observed in it counts once
+        try:
+            table.apply(batch, order, batch=number)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
