@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import labels, paths
-from kelpline.operators import index, listing, retrieval, scans, trees
+from kelpline.operators import index, listing, moves, retrieval, scans, trees
 from kelpline.plans.files_queries import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,12 @@ def same_names(spark, sf_dir):
 @query("select page_id from pages where not (contains(lower(replace(coalesce(url, ''), '\\', '/')), '//blog.') or contains(lower(replace(coalesce(url, ''), '\\', '/')), '/en/'))")
 def outside_places(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(~paths.in_places("url", ["//blog.", "/en/"])).select("page_id")
+
+
+_FILES = "select concat('/in/', o_orderkey, '/f', o_custkey % 50, case when o_custkey % 3 > 0 then '.pdf' else '' end) as path, concat('/out/', o_orderstatus, '/') as folder from orders"
+
+
+@query(f"""with f as (select path, regexp_replace(folder, '/$', '') as folder, regexp_extract(path, '[^/]*$') as name from ({_FILES})), n as (select *, row_number() over (partition by folder, name order by path) as n from f)
+select path, folder || '/' || case when n = 1 then name else replace(name, '.pdf', '') || ' (' || n || ')' || case when contains(name, '.') then '.pdf' else '' end end as target from n""")
+def planned_moves(spark, sf_dir):
+    return moves.plan(spark.sql(_FILES.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")), "folder")

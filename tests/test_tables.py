@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.operators import index, trees
+from kelpline.operators import index, moves, trees
 from kelpline.sources import files as sources
 from kelpline.streaming import control, jobs, tables
 
@@ -203,3 +203,26 @@ def test_locale_order_by_letters_accents_case_and_numbers(spark):
     assert "Python" not in plan and "collat" in plan.lower()
     same = {(r.first, r.n) for r in trees.same_names(rows, "parent", "name", "id").collect()}
     assert same == {("A", 4), ("B", 2)}
+
+
+def test_moves_collide_with_nothing_and_are_undone(spark):
+    pick = random.Random(6)
+    rows = [(f"/in/{k}/{pick.choice(['a.txt', 'a (2).txt', 'b', 'b (2)', '.hidden', 'é.tar.gz'])}", pick.choice(["/out", "/out/", "/x", None])) for k in range(60)]
+    rows += [("/out/a.txt", None), ("/out/a (3).txt", "/out"), ("/x/b", "/out"), (None, "/out"), ("/in/0/same", "/x"), ("/in/0/same", "/x")]
+    files = spark.createDataFrame(rows, "path string, folder string")
+    plan = {r.path: r.target for r in moves.plan(files, "folder").collect()}
+    paths = {p for p, _ in rows if p}
+    staying = paths - set(plan)
+    assert len(set(plan.values())) == len(plan) and not set(plan.values()) & staying
+    wanted = {p: f for p, f in rows if p}
+    assert set(plan) == {p for p, f in wanted.items() if f and f"{f.rstrip('/')}/{p.rsplit('/', 1)[1]}" != p}
+    assert all(t.rsplit("/", 1)[0] == wanted[p].rstrip("/") for p, t in plan.items())
+    plain = [p for p, t in plan.items() if t.rsplit("/", 1)[1] == p.rsplit("/", 1)[1]]
+    assert len(plain) >= 6
+    table = files.where("path is not null").dropDuplicates(["path"])
+    log = moves.plan(files, "folder")
+    after = moves.executed(table, log)
+    assert after.select("path").distinct().count() == table.count()
+    assert sorted(map(tuple, moves.undone(after, log).collect()), key=repr) == sorted(map(tuple, table.collect()), key=repr)
+    assert {r.folder for r in moves.emptied(table, log).collect()} == {p.rsplit("/", 1)[0] for p in plan} - {p.rsplit("/", 1)[0] for p in staying} - {t.rsplit("/", 1)[0] for t in plan.values()}
+    assert moves.plan(files.limit(0), "folder").count() == 0
