@@ -93,3 +93,8 @@ def day_bounds(time: Column | str, zone: str) -> tuple[Column, Column]:
     local = F.from_utc_timestamp(col(time), zone)
     first = F.date_trunc("day", local)
     return F.to_utc_timestamp(first, zone), F.to_utc_timestamp(first + F.expr("interval 23 hours 59 minutes"), zone)
+
+
+def nested_sizes(rows: DataFrame, keys: list[str], nested: str) -> DataFrame:
+    """(keys, rows, items): how many rows a group has, and how many items their arrays hold together; a null array holds none."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(F.coalesce(nested, F.array()))), F.lit(0)).alias("items"))

@@ -113,9 +113,24 @@ def page_text(chunks: DataFrame, file: str, order: str = "ordinal", text: str =
 
 
 def locate_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(hit_id, chunk_id, how): a hit's chunk by id, else the first one on its page, else the file's first."""
-    by_id = hits.join(chunks.select("file_id", "chunk_id", F.lit("id").alias("_i")), ["file_id", "chunk_id"], "left")
-    first = chunks.groupBy("file_id").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("_first"))
-    paged = chunks.groupBy("file_id", "page").agg(F.min_by("chunk_id", F.struct("ordinal", "chunk_id")).alias("_paged"))
-    out = by_id.join(paged, ["file_id", "page"], "left").join(first, "file_id", "left")
-    return out.select("hit_id", F.coalesce(F.when(F.col("_i").isNotNull(), F.col("chunk_id")), "_paged", "_first").alias("chunk_id"), F.when(F.col("_i").isNotNull(), "id").when(F.col("_paged").isNotNull(), "page").when(F.col("_first").isNotNull(), "first").alias("how"))
+    """(hit_id, chunk_id, how): the chunk of its file that a hit shows.
+
+    In this order: the chunk of the hit's id; the first chunk on the hit's page (by its page, its first page, or one of its pages;
+    page 0 is none); the chunk that was selected before, if the file still has it; the first chunk on the page that was shown
+    before; the file's first chunk. ``hits`` (hit_id, file_id, chunk_id, page) may have previous_chunk and previous_page, ``chunks``
+    (file_id, chunk_id, ordinal, page) may have page_start and page_numbers. A hit of a file without chunks has null."""
+    pick = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    rows = hits.select("hit_id", "file_id", "chunk_id", F.nullif("page", F.lit(0)).alias("page"), pick(hits, "previous_chunk", chunks.schema["chunk_id"].dataType).alias("previous_chunk"), pick(hits, "previous_page", "long").alias("previous_page"))
+    page, start = F.col("page").cast("long"), pick(chunks, "page_start", "long").cast("long")
+    numbers = F.coalesce(pick(chunks, "page_numbers", "array<long>").cast("array<long>"), F.array().cast("array<long>"))
+    first = F.min_by("chunk_id", F.struct("ordinal", "chunk_id"))
+    on = lambda pages, name, page_of: chunks.select("file_id", "chunk_id", "ordinal", F.explode(F.array_distinct(pages)).alias(page_of)).groupBy("file_id", page_of).agg(first.alias(name))
+    known = chunks.select("file_id", "chunk_id").distinct()
+    out = rows.join(known.withColumn("_id", F.col("chunk_id")), ["file_id", "chunk_id"], "left")
+    out = out.join(on(F.concat(F.array(page, start), numbers), "_paged", "page"), ["file_id", "page"], "left")
+    out = out.join(known.select("file_id", F.col("chunk_id").alias("previous_chunk"), F.col("chunk_id").alias("_before")), ["file_id", "previous_chunk"], "left")
+    out = out.join(on(F.concat(F.array(F.coalesce(page, start)), numbers), "_shown", "previous_page"), ["file_id", "previous_page"], "left")
+    out = out.join(chunks.groupBy("file_id").agg(first.alias("_first")), "file_id", "left")
+    steps = {"_id": "id", "_paged": "page", "_before": "previous", "_shown": "previous page", "_first": "first"}
+    how = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(name)) for c, name in steps.items()))
+    return out.select("hit_id", F.coalesce(*steps).alias("chunk_id"), how.alias("how"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import labels, paths
-from kelpline.operators import index, listing, moves, retrieval, scans, trees
+from kelpline.operators import index, listing, moves, records, retrieval, scans, trees
 from kelpline.plans.files_queries import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,24 @@ _FILES = "select concat('/in/', o_orderkey, '/f', o_custkey % 50, case when o_cu
 select path, folder || '/' || case when n = 1 then name else replace(name, '.pdf', '') || ' (' || n || ')' || case when contains(name, '.') then '.pdf' else '' end end as target from n""")
 def planned_moves(spark, sf_dir):
     return moves.plan(spark.sql(_FILES.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")), "folder")
+
+
+_CHUNKS = "select doc_id % 40 as file_id, doc_id as chunk_id, n_chars as ordinal, case when doc_id % 3 > 0 then doc_id % 9 end as page, doc_id % 11 as page_start, case when doc_id % 5 = 0 then {array} end as page_numbers from documents"
+_SHOWN = "select l_orderkey * 10 + l_linenumber as hit_id, l_suppkey % 45 as file_id, case when l_orderkey % 2 = 0 then l_partkey end as chunk_id, case when l_orderkey % 3 > 0 then l_linenumber * 4 end as page, case when l_orderkey % 5 > 1 then l_partkey * 2 end as previous_chunk, case when l_orderkey % 7 > 1 then l_linenumber end as previous_page from lineitem"
+
+
+@query(f"""with c as ({_CHUNKS.format(array='[20, doc_id % 30]')}), h as ({_SHOWN}), a as (select file_id, chunk_id, ordinal, unnest([page, page_start] || coalesce(page_numbers, [])) as p from c), b as (select file_id, chunk_id, ordinal, unnest([coalesce(page, page_start)] || coalesce(page_numbers, [])) as p from c),
+pa as (select file_id, p, arg_min(chunk_id, (ordinal, chunk_id)) as c from a group by 1, 2), pb as (select file_id, p, arg_min(chunk_id, (ordinal, chunk_id)) as c from b group by 1, 2), f as (select file_id, arg_min(chunk_id, (ordinal, chunk_id)) as c from c group by 1),
+j as (select hit_id, i.chunk_id as i, pa.c as a, v.chunk_id as v, pb.c as b, f.c as f from h left join (select distinct file_id, chunk_id from c) i on i.file_id = h.file_id and i.chunk_id = h.chunk_id left join pa on pa.file_id = h.file_id and pa.p = h.page
+ left join (select distinct file_id, chunk_id from c) v on v.file_id = h.file_id and v.chunk_id = previous_chunk left join pb on pb.file_id = h.file_id and pb.p = previous_page left join f on f.file_id = h.file_id)
+select hit_id, coalesce(i, a, v, b, f) as chunk_id, case when i is not null then 'id' when a is not null then 'page' when v is not null then 'previous' when b is not null then 'previous page' when f is not null then 'first' end as how from j""")
+def located_chunks(spark, sf_dir):
+    chunks = spark.sql(_CHUNKS.format(array="array(20, doc_id % 30)").replace("from documents", "from {documents}"), documents=table(spark, sf_dir, "documents"))
+    hits = spark.sql(_SHOWN.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return retrieval.locate_chunk(hits, chunks)
+
+
+@query("select role, count(*) as rows, cast(coalesce(sum(len(string_split(text, ' '))), 0) as bigint) as items from conversations group by 1")
+def nested_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("role", F.split("text", " ").alias("words"))
+    return records.nested_sizes(rows, ["role"], "words")
