@@ -20,11 +20,9 @@ empty table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
-import array
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -49,7 +47,7 @@ MEMORY = 1_500_000
 _POLYNOMIAL = 0xEDB88320
 #: Stands for a line end behind a word; texts that hold it, other line ends or special tokens are encoded whole.
 _LINE = "\x01 "
-_OWN = re.compile("[\x01\x85\xa0]|<\\|")
+_OWN = ("\x01", "\x85", "\xa0", "<|")
 _ENDS = ".!?\x01"
 _SIGNS = ".,;:!?#$%&*\x01"
 _MARK = 1 << 31
@@ -60,6 +58,11 @@ def sentences(text: str) -> list[str]:
     return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
 
 
+def _marked(ids: bytes, word: str) -> bytes:
+    """Ids whose last one carries the mark, its highest bit, if the word ends a sentence."""
+    return ids[:-1] + bytes([ids[-1] | 0x80]) if ids and word[-1] in _ENDS else ids
+
+
 class Cutter:
     """Encodes texts with the tokenizers library and gives the places where they may be cut. Ids of words (runs without
     whitespace) are remembered; the last id of a word that ends a sentence carries a mark, so a text's cuts come from its ids."""
@@ -79,51 +82,56 @@ class Cutter:
     def places(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text the ends (in tokens) of its parts and the checksum of its ids up to each; the end id is in the last
         part. An end inside a sentence is given as a negative number."""
-        lower = [t.lower().replace("\n", _LINE).split() if t and _plain(t) and not _OWN.search(t) else None for t in texts]
+        lower = [t.lower().replace("\n", _LINE).split() if t and _plain(t) and not any(c in t for c in _OWN) else None for t in texts]
         words: set[str] = set().union(*(x for x in lower if x is not None))
-        self._learn(words)
+        long = self._learn(words)
         get = self.known.__getitem__
         for text, parts in zip(texts, lower, strict=True):
             yield self._cut(np.frombuffer(b"".join(map(get, parts)), "<u4") if parts is not None else self._odd(text or ""))
-        for word in words:
-            if len(word) > LONGEST:
-                del self.known[word]
+        for word in long:
+            del self.known[word]
 
-    def _encoded(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words. Those of letters alone are encoded as one text, whose word ends show in the ids."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         letters, rest = [], []
         for word in words:
             (letters if word.isalpha() else rest).append(word)
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
-            ids = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.word_ends[ids]) + 4).tolist()
             if len(ends) == len(part):
-                out.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+                data = ids.tobytes()
+                out.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
             else:
                 rest.extend(part)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            out.update((w, e.ids) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.memory:
-            self.known = {w: self.known[w] for w in words if w in self.known}
+    def _learn(self, words: set[str]) -> list[str]:
+        """Remember the words; gives those that are too long to keep."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.memory:
+            known = self.known = {w: known[w] for w in words if w in known}
         # letters and the signs behind them are words of their own to the library, so what words share is encoded once
         bases = {w: base for w in new if (base := w.rstrip(_SIGNS)) != w and base.isalpha()}
-        signs = self._encoded({w[len(base) :].rstrip("\x01") for w, base in bases.items()})
-        found = self._encoded({w for w in (*bases.values(), *(w.rstrip("\x01") for w in new if w not in bases)) if w not in self.known})
+        signs = {w[len(base) :] for w, base in bases.items()}
+        ids_of = self._encoded({s.rstrip("\x01") for s in signs})
+        behind = {s: _marked(ids_of[s.rstrip("\x01")], s) for s in signs}
+        found = self._encoded({w for w in (*bases.values(), *(w.rstrip("\x01") for w in new if w not in bases)) if w not in known})
         for word in new:
-            base = bases.get(word, word.rstrip("\x01"))
-            ids = array.array("I", found[base] if base in found else self.known[base])
-            if word in bases:
-                ids.extend(signs[word[len(base) :].rstrip("\x01")])
-            if ids and word[-1] in _ENDS:
-                ids[-1] |= _MARK
-            self.known[word] = ids.tobytes()
+            base = bases.get(word)
+            if base is None:
+                stem = word.rstrip("\x01")
+                known[word] = _marked(found[stem] if stem in found else known[stem], word)
+            else:
+                sign, ids = behind[word[len(base) :]], found.get(base) or known[base]
+                known[word] = ids + sign if sign else _marked(ids, word)
+        return [w for w in new if len(w) > LONGEST]
 
     def _odd(self, text: str) -> np.ndarray:
         """Marked ids of a text whose words the library doesn't take one by one."""
@@ -189,13 +197,16 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> np.ndarray:
     """Numbers of the cuts of least cost among possible ``ends`` (rising, at most ``size`` apart, from 0); the last is one."""
     n = len(ends)
     at = np.concatenate([[0], ends])
-    powers: list[list[int]] = [[] for _ in range(n + 1)]
+    later, before = [], []  # cuts that are a power of two apart
     k = 1
     while k <= size:
         found = np.searchsorted(at, at - k)
-        for j in np.flatnonzero((at >= k) & (at[np.minimum(found, n)] == at - k)).tolist():
-            powers[j].append(int(found[j]))
+        later.append(np.flatnonzero((at >= k) & (at[np.minimum(found, n)] == at - k)))
+        before.append(found[later[-1]])
         k *= 2
+    order = np.argsort(np.concatenate(later), kind="stable")
+    pairs = zip(np.concatenate(later)[order].tolist(), np.concatenate(before)[order].tolist(), strict=True)
+    power, other = next(pairs, (0, 0))
     place, fee = at.tolist(), [0, *penalties.tolist()]
     cost, back = [0] * (n + 1), [0] * (n + 1)  # in 2 ** -20 tokens, so that a window more decides a tie
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost less what lies before, cut), rising in both
@@ -205,9 +216,10 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> np.ndarray:
             queue.popleft()
         least, i = queue[0]
         least += (size - here) << 20
-        for h in powers[j]:
-            if cost[h] < least:
-                least, i = cost[h], h
+        while power == j:
+            if cost[other] < least:
+                least, i = cost[other], other
+            power, other = next(pairs, (0, 0))
         cost[j] = least = least + (fee[j] << 20) + 1
         back[j] = i
         least += here << 20
