@@ -72,7 +72,7 @@ class Cutter:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4")
+        self.end = np.array([end_id], "<u4").tobytes()
         vocab = self.library.get_vocab()
         self.word_ends = np.zeros(max(vocab.values()) + 1, bool)
         self.word_ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -145,17 +145,20 @@ class Cutter:
 
     def _cut(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(ids)
-        ends = np.flatnonzero(ids[: max(0, n - 1)] >> np.uint32(31)) + 1
-        ends = np.append(ends, n + 1)
-        gaps = np.diff(ends, prepend=0)
+        marks = (ids[: n - 1] >= _MARK).nonzero()[0] if n else ids  # the last id's mark is not needed
+        ends = np.empty(len(marks) + 1, np.int64)
+        ends[:-1], ends[-1] = marks, n
+        ends += 1
+        gaps = ends.copy()
+        gaps[1:] -= ends[:-1]
         if gaps.max() > LONG:
             inside = [np.arange(e - g + GRID, e, GRID) for e, g in zip(ends.tolist(), gaps.tolist(), strict=True) if g > LONG]
             ends = np.concatenate([ends, *(-x for x in inside)])
             ends = ends[np.argsort(np.abs(ends))]
-        data = memoryview(np.append(ids & np.uint32(_MARK - 1), self.end).tobytes())
-        at, crc, sums = 0, 0, []
+        data = memoryview((ids & np.uint32(_MARK - 1)).tobytes() + self.end)
+        at, crc, sums, crc32 = 0, 0, [], zlib.crc32
         for end in (4 * np.abs(ends)).tolist():
-            crc = zlib.crc32(data[at:end], crc)
+            crc = crc32(data[at:end], crc)
             sums.append(crc)
             at = end
         return ends, np.array(sums, np.uint32)
@@ -207,22 +210,24 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> np.ndarray:
     order = np.argsort(np.concatenate(later), kind="stable")
     pairs = zip(np.concatenate(later)[order].tolist(), np.concatenate(before)[order].tolist(), strict=True)
     power, other = next(pairs, (0, 0))
-    place, fee = at.tolist(), [0, *penalties.tolist()]
-    cost, back = [0] * (n + 1), [0] * (n + 1)  # in 2 ** -20 tokens, so that a window more decides a tie
+    place = at.tolist()
+    # in 2 ** -20 tokens, so that a window more decides a tie
+    padding, lifted, fee = ((size - at) << 20).tolist(), (at << 20).tolist(), [0, *((penalties.astype(np.int64) << 20) + 1).tolist()]
+    cost, back = [0] * (n + 1), [0] * (n + 1)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost less what lies before, cut), rising in both
     for j in range(1, n + 1):
-        here = place[j]
-        while place[queue[0][1]] < here - size:
+        reach = place[j] - size
+        while place[queue[0][1]] < reach:
             queue.popleft()
         least, i = queue[0]
-        least += (size - here) << 20
+        least += padding[j]
         while power == j:
             if cost[other] < least:
                 least, i = cost[other], other
             power, other = next(pairs, (0, 0))
-        cost[j] = least = least + (fee[j] << 20) + 1
+        cost[j] = least = least + fee[j]
         back[j] = i
-        least += here << 20
+        least += lifted[j]
         while queue and queue[-1][0] >= least:
             queue.pop()
         queue.append((least, j))
