@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import threading
 import uuid
@@ -71,6 +72,19 @@ def discard(*tables: DataFrame) -> None:
 MOST_BITS = 1 << 26
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a worker, at most, in jobs of whole texts (a longer text is alone in its batch).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch, which both sides hold as a whole; a bound that is lower already stays.
+    By default a batch has 10,000 rows, some 34 MB of texts and more where they are long, and the JVM keeps what it took."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        known = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < known <= bound:
+            spark.conf.set(key, str(bound))
+
+
 class Marks:
     """A bitmap of the hashed values of a column, for tasks to skip most rows that a join would drop. It is built by grouped
     bitmaps, at most ``MOST_BITS`` bits, sent to the tasks, and never says no to a value that the column holds."""

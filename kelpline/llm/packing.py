@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.bpe import MEMORY, encoder
-from kelpline.llm.common import SLICE_BYTES, resting, slices, task_ends, turn_of, written
+from kelpline.llm.common import SLICE_BYTES, discard, resting, slices, task_ends, turn_of, written
 
 LENGTH = 4096
 GROUP_ROWS = 4000
@@ -193,4 +193,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document. ``memory`` bounds the
     words that an encoder remembers and ``slice_bytes`` the text it takes at once; both change time and memory, not results."""
     found = written(pieces(docs, tokenizer_path, id_col, text_col, length, end_id, memory, slice_bytes), "pieces")
-    return pack(found, length).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").withColumnRenamed("doc_id", id_col)
+    packed = pack(found, length)
+    discard(found)  # every round is written
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").withColumnRenamed("doc_id", id_col)
