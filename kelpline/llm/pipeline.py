@@ -17,7 +17,7 @@ from kelpline.llm.queries import language_model, quality_model, tokenizer
 #: A document whose words are on average less sure of their label than this is rejected, as is one without a letter.
 CONFIDENCE = 0.5
 #: Words that the encoder remembers in a worker, fewer than alone: here executors also keep the heap of shuffles before it.
-ENCODER_MEMORY = 250_000
+ENCODER_MEMORY = 100_000
 #: Bytes of text that the encoder takes at once, fewer than alone for the same reason.
 ENCODER_SLICE = 1 << 20
 
