@@ -98,3 +98,10 @@ def day_bounds(time: Column | str, zone: str) -> tuple[Column, Column]:
 def nested_sizes(rows: DataFrame, keys: list[str], nested: str) -> DataFrame:
     """(keys, rows, items): how many rows a group has, and how many items their arrays hold together; a null array holds none."""
     return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(F.coalesce(nested, F.array()))), F.lit(0)).alias("items"))
+
+
+def keys_or_new(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, id, created) for every distinct asked name: the smallest id of its active keys that aren't the system's; a name
+    without one is to be created, and its id is null until then."""
+    known = keys.where("is_active and not is_system").groupBy("name").agg(F.min("id").alias("id"))
+    return names.select("name").distinct().join(known, "name", "left").withColumn("created", F.col("id").isNull())
