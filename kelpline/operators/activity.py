@@ -104,16 +104,18 @@ def largest_files(files: DataFrame, n: int = 10) -> DataFrame:
 
 def month_highlights(files: DataFrame) -> DataFrame:
     """For each month: the most frequent folder with a meaningful name, and the largest file of 1 KB or more, first from
-    folders that are not generic; null where there is none."""
-    rows = files.where("modified_at is not null").select((F.month("modified_at") - 1).alias("month"), "path", "size", parent("path").alias("folder_path"))
-    # names belong to folders, so the distinct ones are named, after their files are counted
-    counted = rows.groupBy("month", "folder_path").agg(F.count("*").alias("n")).select("month", "n", meaningful_folder("folder_path").alias("folder"))
-    folders = counted.where(~F.array_contains(words(GENERIC_FOLDERS), F.col("folder"))).groupBy("month", "folder").agg(F.sum("n").alias("n"))
-    rows = rows.withColumn("generic", F.array_contains(words(GENERIC_FOLDERS), F.coalesce(F.get(segments("path"), F.size(segments("path")) - 2), F.lit(""))))
-    top = folders.groupBy("month").agg(F.min(F.struct((-F.col("n")).alias("minus"), "folder")).alias("f"))
-    notable = rows.where("size > 1024 or size = 1024 and not generic").groupBy("month").agg(F.min(F.struct("generic", (-F.col("size")).alias("minus"), "path")).alias("g"))
-    months = rows.groupBy("month").agg(F.count("*").alias("files"))
-    return months.join(top, "month", "left").join(notable, "month", "left").select("month", "files", F.col("f.folder").alias("folder"), (-F.col("f.minus")).alias("folder_files"), F.col("g.path").alias("file"), (-F.col("g.minus")).alias("file_size"))
+    folders that are not generic; null where there is none. The folder decides both, so files are read once, by month and
+    folder, and names are made for distinct folders."""
+    best = F.min(F.when(F.col("size") >= 1024, F.struct((-F.col("size")).alias("minus"), "path"))).alias("best")
+    found = files.where("modified_at is not null").groupBy((F.month("modified_at") - 1).alias("month"), parent("path").alias("folder_path")).agg(F.count("*").alias("n"), best)
+    generic = lambda c: F.array_contains(words(GENERIC_FOLDERS), c)
+    last = F.coalesce(F.get(segments("folder_path"), F.size(segments("folder_path")) - 1), F.lit(""))
+    named = found.select("month", "n", "best", meaningful_folder("folder_path").alias("folder"), generic(last).alias("generic"))
+    notable = F.when((F.col("best.minus") < -1024) | ~F.col("generic"), F.struct("generic", "best.minus", "best.path"))
+    folders = named.groupBy("month", "folder").agg(F.sum("n").alias("n"), F.min(F.when(F.col("best").isNotNull(), notable)).alias("g"))
+    top = F.min(F.when(~generic(F.col("folder")), F.struct((-F.col("n")).alias("minus"), "folder"))).alias("f")
+    months = folders.groupBy("month").agg(F.sum("n").alias("files"), top, F.min("g").alias("g"))
+    return months.select("month", "files", F.col("f.folder").alias("folder"), (-F.col("f.minus")).alias("folder_files"), F.col("g.path").alias("file"), (-F.col("g.minus")).alias("file_size"))
 
 
 def month_top_kinds(files: DataFrame, n: int = 3) -> DataFrame:
