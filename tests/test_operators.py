@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import activity, catalog, events, folders, memory, retrieval
-from kelpline.plans.extensions import Extension, Registry
+from kelpline.plans.extensions import Extension, Registry, migrated
 from kelpline.sources import files as sources
 from kelpline.streaming import jobs
 
@@ -161,3 +161,34 @@ def test_extensions(spark):
     assert not r.add(Extension("c", "", "1", lambda df: df))
     assert r.apply(spark.range(1).withColumnRenamed("id", "x")).collect()[0].x == 2
     assert r.table(spark).count() == 2
+    assert r.reorder(["a"]) and [e.id for e in r.enabled()] == ["a", "b"]
+    assert not r.reorder(["b", "unknown"]) and [e.id for e in r.enabled()] == ["a", "b"]
+
+
+def test_settings_of_older_versions_lose_what_is_not_supported(spark):
+    rows = [("a", True, 1), ("b", True, 1), ("c", True, None), ("d", True, 2), ("a2", False, 1), ("e", True, 3)]
+    got = migrated(spark.createDataFrame(rows, "id string, enabled boolean, version int"), ["a", "a2"])
+    assert {tuple(x) for x in got.collect()} == {("a", True, 2), ("b", False, 2), ("c", False, 2), ("d", True, 2), ("a2", False, 2), ("e", True, 3)}
+
+
+def test_names_and_keys_that_are_not_known(spark):
+    from kelpline.operators import listing, records
+
+    keys = spark.createDataFrame([(3, "a", True, False), (1, "a", False, False), (2, "a", True, False), (4, "b", True, True)], "id int, name string, is_active boolean, is_system boolean")
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "name string")
+    assert sorted(map(tuple, records.keys_or_new(keys, asked).collect()), key=str) == [("a", 2, False), ("b", None, True), ("c", None, True)]
+    named = listing.with_name(spark.createDataFrame([("x",), ("y",), (None,)], "by string"), "by", spark.createDataFrame([("x", "Ex")], "id string, name string"), "label")
+    assert {tuple(x) for x in named.collect()} == {("x", "Ex"), ("y", "y"), (None, None)}
+
+
+def test_highlights_of_months_at_the_borders(spark):
+    from kelpline.operators import activity
+
+    rows = [("/w/Downloads/a.bin", 1024, 1), ("/w/Plans/b.bin", 1024, 2), ("/w/Downloads/c.bin", 5000, 2), ("/w/Plans/d.bin", 10, 3), ("/w/Downloads/e.bin", 1025, 4), ("/w/Plans/f.bin", None, 4), (None, 9000, 5)]
+    files = spark.createDataFrame(rows, "path string, size long, m int").selectExpr("path", "size", "make_timestamp(2024, m, 3, 0, 0, 0) as modified_at")
+    got = {r.month: (r.files, r.file, r.file_size) for r in activity.month_highlights(files).collect()}
+    assert got[0] == (1, None, None)  # 1 KB in a generic folder is too small
+    assert got[1] == (2, "/w/Plans/b.bin", 1024)
+    assert got[2] == (1, None, None)
+    assert got[3] == (2, "/w/Downloads/e.bin", 1025)
+    assert got[4][0] == 1
