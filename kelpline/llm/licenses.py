@@ -2,10 +2,10 @@
 
 A text becomes its words in lower case between single spaces, so a signature is a regex over words. Signatures are
 written by hand: license names in a few forms of wording, and sentences of license bodies, file notices and addresses;
-that makes some 330 ordered regexes. A rule runs only if the text contains one of its keywords as whole words; whatever
+that makes some 360 ordered regexes, the last of them for families of licenses whose version isn't told. A rule runs only if the text contains one of its keywords as whole words; whatever
 the rule matches holds one of them, so nothing is lost. Detections carry word intervals; a detection that lies inside an
 interval of a rule of higher priority (or of a longer one, or an earlier rule, of the same) is suppressed, in one walk
-along the sorted intervals. Built-in functions only, one pass, no shuffle.
+along the sorted intervals, in blocks of about the square root of their number. Built-in functions only, one pass, no shuffle.
 
 Base phrases are rules of their own that nothing suppresses.
 
@@ -155,6 +155,9 @@ BODIES: list[tuple[str, str, str]] = [
     ("commons-clause", "right to sell the software", "does not grant to you the right to sell the software"),
     ("bsl-1.1", "non production use", "redistribute and make non production use of the licensed work"),
     ("openrail", "derivatives of the model", "you agree not to use the model or derivatives of the model"),
+    ("bsd", "source code must retain", "redistributions of source code must retain(?: the)?(?: above)?(?: copyright notice)?"),
+    ("gpl", "verbatim copies of this", "verbatim copies of this licen[sc]e document"),
+    ("proprietary", "confidential|proprietary software", "proprietary and confidential|confidential and proprietary|proprietary software licen[sc]e"),
     ("public-domain", "public domain", "(?:has been placed|is placed|is hereby placed|is released|is dedicated|released|placed) (?:in|into|to) the public domain"),
 ]
 BODY_PRIORITY, BODY_CONFIDENCE = 60, 0.9
@@ -166,8 +169,24 @@ FORMS: tuple[tuple[str, int, float, str], ...] = (
     ("name", 50, 0.8, "(?:N) (?:public )?licen[sc]e"),
 )
 ALONE_PRIORITY = 40
-#: The priorities of the method's rules, negated, from the highest.
-RANKS = sorted({-priority for _, priority, _, _ in FORMS} | {-BODY_PRIORITY, -ALONE_PRIORITY})
+#: label -> (keywords, regex of the name in words, whether the name is plain enough to be detected alone), where no version
+#: is told. Below all other rules, so a version that stands there too suppresses them.
+FAMILIES: dict[str, tuple[str, str, bool]] = {
+    "gpl": ("gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e)", True),
+    "lgpl": ("lgpl|general public", "(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)", True),
+    "agpl": ("agpl|affero", "(?:gnu )?(?:agpl|affero general public licen[sc]e)", True),
+    "apache": ("apache", "apache(?: software)?", False),
+    "bsd": ("bsd", "bsd(?: style| type)?", False),
+    "mpl": ("mozilla|mpl", "mozilla public|mpl", False),
+    "epl": ("eclipse public|epl", "eclipse public|epl", False),
+    "artistic": ("artistic", "artistic", False),
+    "cc": ("creative commons|cc", "creative commons|cc", False),
+    "proprietary": ("proprietary", "proprietary", False),
+    "all-rights-reserved": ("all rights reserved", "all rights reserved", True),
+}
+FAMILY_PRIORITY, FAMILY_CONFIDENCE = 30, 0.6
+#: The priorities of the method's rules, from the highest.
+RANKS = sorted({priority for _, priority, _, _ in FORMS} | {BODY_PRIORITY, ALONE_PRIORITY, FAMILY_PRIORITY}, reverse=True)
 #: Names that are plain enough to be detected alone.
 ALONE = ("apache-2", "gpl-2", "gpl-3", "lgpl-2", "lgpl-3", "agpl-3", "mpl-2", "cc0-1", "cc-by-2", "cc-by-3", "cc-by-4", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
 
@@ -179,6 +198,9 @@ def signatures() -> list[tuple[int, str, list[str], str, int, float]]:
         rules += [(label, keywords, form.replace("N", name), priority, confidence) for label, (keywords, name) in NAMES.items()]
     rules += [(label, keywords, regex, BODY_PRIORITY, BODY_CONFIDENCE) for label, keywords, regex in BODIES]
     rules += [(label, NAMES[label][0], f"(?:{NAMES[label][1]})", ALONE_PRIORITY, 0.7) for label in ALONE]
+    for form, _, _, regex in FORMS[1:]:
+        rules += [(label, keywords, regex.replace("N", name), FAMILY_PRIORITY, FAMILY_CONFIDENCE) for label, (keywords, name, alone) in FAMILIES.items() if not (alone and form == "name")]
+    rules += [(label, keywords, f"(?:{name})", FAMILY_PRIORITY, FAMILY_CONFIDENCE) for label, (keywords, name, alone) in FAMILIES.items() if alone]
     return [(i, label, [f" {k} " for k in keywords.split("|")], f"(?<= )(?:{regex})(?= )", priority, confidence) for i, (label, keywords, regex, priority, confidence) in enumerate(rules)]
 
 
@@ -188,8 +210,12 @@ def _spaces(c: Column) -> Column:
 
 def _detections(norm: Column) -> Column:
     """Array of (rule, label, priority, confidence, first, last): every match of every rule of which a keyword stands in the text."""
-    keywords = sorted({kw for _, _, kws, _, _, _ in signatures() for kw in kws})
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.array(*map(F.lit, kws)).alias("kws"), F.lit(rx).alias("rx"), F.lit(p).alias("priority"), F.lit(conf).alias("confidence")) for i, label, kws, rx, p, conf in signatures()])
+    text = lambda x: "'" + x + "'"  # noqa: E731  no rule holds a quote or a backslash
+    texts = lambda xs: f"array({', '.join(map(text, xs))})"
+    some = signatures()
+    # one SQL text, since thousands of literals made one by one take seconds
+    rules = F.expr("array(" + ", ".join(f"named_struct('rule', {i}, 'label', {text(label)}, 'kws', {texts(kws)}, 'rx', {text(rx)}, 'priority', {p}, 'confidence', {conf}D)" for i, label, kws, rx, p, conf in some) + ")")
+    keywords = F.expr(texts(sorted({kw for _, _, kws, _, _, _ in some for kw in kws})))
 
     def found(r: Column) -> Column:
         words = F.split(F.trim(F.regexp_replace(norm, r["rx"], F.lit("\x01$0"))), " ")  # a match starts at a word, which is marked
@@ -200,7 +226,7 @@ def _detections(norm: Column) -> Column:
     def ran(held: Column) -> Column:
         return F.flatten(F.transform(F.filter(rules, lambda r: F.arrays_overlap(r["kws"], held) & F.regexp_like(norm, r["rx"])), found))
 
-    held = F.filter(F.array(*map(F.lit, keywords)), lambda kw: F.contains(norm, kw))
+    held = F.filter(keywords, lambda kw: F.contains(norm, kw))
     # an array of one, so that a text is searched for keywords once; without any it runs no rule
     return F.flatten(F.transform(F.filter(F.array(held), lambda x: F.size(x) > 0), ran))
 
@@ -212,20 +238,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = docs.select(F.col(id_col), F.concat(F.lit(" "), F.trim(words), F.lit(" ")).alias("_norm"))
     n_words = F.when(F.length("_norm") > 2, _spaces(F.col("_norm")) - 1).otherwise(F.lit(0)).cast("long")
     df = df.select(id_col, n_words.alias("n_words"), _detections(F.col("_norm")).alias("_all"))
-    none = F.array().cast("array<struct<rule:int,label:string,priority:int,confidence:double,first:bigint,last:bigint>>")
+    detections = "array<struct<rule:int,label:string,priority:int,confidence:double,first:bigint,last:bigint>>"
+    none = F.array().cast(detections)
+    level = lambda d: F.array_position(F.array(*map(F.lit, RANKS)), d["priority"]).cast("int")
     # whatever may suppress a detection comes before it in this order
-    own = F.transform(F.filter("_all", lambda d: d["priority"] < 100), lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), (-d["priority"]).alias("rank"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence")))
+    own = F.transform(F.filter("_all", lambda d: d["priority"] < 100), lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), level(d).alias("level"), d["rule"].alias("rule"), d.alias("d")))
 
-    def walk(state: Column, d: Column) -> Column:
+    def walk(state: Column, x: Column) -> Column:
         """``reach`` holds the furthest end of the detections so far, for each priority of those that high or higher."""
-        level = F.array_position(F.array(*map(F.lit, RANKS)), d["rank"]).cast("int")
-        last = -d["back"]
-        plain = F.array(F.struct(d["rule"].alias("rule"), d["label"].alias("label"), (-d["rank"]).alias("priority"), d["confidence"].alias("confidence"), d["first"].alias("first"), last.alias("last")))
-        kept = F.when(F.element_at(state["reach"], level) >= last, state["kept"]).otherwise(F.concat(state["kept"], plain))
-        return F.struct(kept.alias("kept"), F.transform(state["reach"], lambda x, k: F.when(k >= level - 1, F.greatest(x, last)).otherwise(x)).alias("reach"))
-
-    start = F.struct(none.alias("kept"), F.array(*[F.lit(-1).cast("long")] * len(RANKS)).alias("reach"))
-    kept = F.aggregate(F.sort_array(own), start, walk, lambda x: x["kept"])
+        last = x["d"]["last"]
+        kept = F.when(F.element_at(state["reach"], x["level"]) >= last, state["kept"]).otherwise(F.concat(state["kept"], F.array(x["d"])))
+        return F.struct(kept.alias("kept"), F.transform(state["reach"], lambda y, k: F.when(k >= x["level"] - 1, F.greatest(y, last)).otherwise(y)).alias("reach"))
+
+    def walk_block(state: Column, block: Column) -> Column:
+        """A walk copies what it has kept with every detection, so blocks are walked alone and put side by side."""
+        start = F.struct(none.alias("kept"), state["reach"].alias("reach"))
+        return F.aggregate(block, start, walk, lambda x: F.struct(F.concat(state["kept"], F.array(x["kept"])).alias("kept"), x["reach"].alias("reach")))
+
+    def walked(found: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(found))).cast("int")
+        starts = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.greatest(size, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.array().cast(f"array<{detections}>").alias("kept"), F.array(*[F.lit(-1).cast("long")] * len(RANKS)).alias("reach"))
+        return F.aggregate(F.transform(starts, lambda k: F.slice(found, k, size)), start, walk_block, lambda x: F.flatten(x["kept"]))
+
+    # an array of one, so that detections are sorted once
+    kept = F.flatten(F.transform(F.array(F.sort_array(own)), walked))
     return df.select(id_col, "n_words", F.coalesce(F.filter("_all", lambda d: d["priority"] == 100), none).alias("base"), F.coalesce(kept, none).alias("detections"))
 
 

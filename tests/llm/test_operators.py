@@ -419,6 +419,26 @@ def test_license_detections_equal_rules_without_keywords(spark, documents, sourc
             assert label in labels[100 + i], (text, labels[100 + i])
 
 
+def test_license_families_without_a_version(spark):
+    cases = [
+        ("this is GPL software", "gpl"), ("GNU General Public License", "gpl"), ("GNU Lesser General Public License", "lgpl"), ("the AGPL", "agpl"), ("licensed under apache", "apache"), ("a BSD-style license", "bsd"),
+        ("All rights reserved.", "all-rights-reserved"), ("Proprietary and confidential", "proprietary"), ("Redistributions of source code must retain the above copyright notice", "bsd"),
+        ("Everyone is permitted to copy and distribute verbatim copies of this license document", "gpl"),
+        ("licensed under the Apache License 2.0", "apache-2"), ("GNU LGPL v2.1", "lgpl-2"), ("GNU General Public License version 3", "gpl-3"), ("Mozilla Public License 2.0", "mpl-2"), ("an apache helicopter, a mozilla, a cc and the artistic touch", ""),
+    ]
+    got = licenses.summary(licenses.scan(frame(spark, list(enumerate(t for t, _ in cases))))).collect()
+    assert {cases[r.doc_id]: r.labels for r in got} == {case: case[1] for case in cases}
+    names = {label: (keywords, spelled(re._parser.parse(name))) for label, (keywords, name, _) in licenses.FAMILIES.items()}
+    assert all(any(f" {kw} " in f" {name} " for kw in keywords.split("|")) for keywords, some in names.values() for name in some)
+
+
+def test_license_long_text_of_thousands_of_detections(spark):
+    text = "Released under Apache License 2.0, mit license, GPL; " * 700 + "x " * 30 + "GPLv3 " * 1000
+    row = licenses.scan(frame(spark, [(1, text), (2, "mit license x " * 20_000)])).orderBy("doc_id").collect()
+    assert Counter(tuple(d) for d in row[0].detections) == detections_force(text)
+    assert [(d.first, d.last) for d in row[1].detections] == [(3 * k, 3 * k + 1) for k in range(20_000)]
+
+
 def test_license_body_keywords_are_in_every_match():
     for label, keywords, rx in licenses.BODIES:
         rx = rx.replace("(?:[^ ]+ ){1,24}?", "x ").replace("(?! provided)", "")
