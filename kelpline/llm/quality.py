@@ -4,8 +4,9 @@ A text's UTF-8 bytes are covered by overlapping chunks. Each byte has a learned
 ``2 * GROUP`` bytes at every ``GROUP``-th byte are rectified and max-pooled over a chunk; mean and maximum over the
 chunks of the whole document are combined by a logistic layer into one probability.
 
-Training: Adam on the log loss of a bounded sample of labelled rows (about ``TRAIN_DOCS``, by a hash of the id); a
-training step looks at ``TRAIN_CHUNKS`` random chunks of a text at most, a prediction at all of them.
+Training: Adam on the log loss of a bounded sample of labelled rows (about ``TRAIN_DOCS``, by a hash of the id). Tasks cut
+``TRAIN_POOL`` random chunks of a text at most, so the driver gets chunks alone; a training step looks at ``TRAIN_CHUNKS`` of
+them, a prediction at all chunks of a text.
 
 Edge cases: a null or empty text is one chunk without bytes and gets the score the network gives it; a text shorter than
 a chunk is padded; very long texts take time in proportion; with no training rows every score is 0.5; several labels of
@@ -15,6 +16,7 @@ no label; only the columns named are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import resting, slices, turn_of
 
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 6, 10, 48
+#: Chunks of one text that training gets at most: 12 KB of 16-bit values.
+TRAIN_POOL = 12
 CHUNK, OVERLAP, GROUP, EMBED, FILTERS = 512, 64, 4, 4, 24
 PAD = 256
 
@@ -39,6 +43,15 @@ def chunks_of(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(flat, (n, CHUNK), (flat.strides[0] * step, flat.strides[0]))
 
 
+def training_chunks(text: str | None) -> np.ndarray:
+    """At most ``TRAIN_POOL`` chunks from anywhere in a text, the same ones whenever they are drawn."""
+    data = (text or "").encode()
+    chunks = chunks_of(data)
+    if len(chunks) <= TRAIN_POOL:
+        return chunks
+    return chunks[np.sort(np.random.default_rng(zlib.crc32(data)).choice(len(chunks), TRAIN_POOL, replace=False))]
+
+
 @dataclass
 class Net:
     embed: np.ndarray  # 257 x EMBED; the last row, for padding, stays zero
@@ -112,6 +125,11 @@ def gradients(net: Net, chunks: np.ndarray, sizes: np.ndarray, y: np.ndarray, we
 
 def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
     """Train on (text, 0 or 1) pairs."""
+    return fit_chunks([(training_chunks(t), y) for t, y in samples], seed)
+
+
+def fit_chunks(samples: list[tuple[np.ndarray, int]], seed: int = 5) -> Net:
+    """Train on (chunks of a text, 0 or 1) pairs."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     net = Net(rng.normal(0, 0.5, (257, EMBED)).astype(f32), rng.normal(0, 0.25, (2 * GROUP * EMBED, FILTERS)).astype(f32), np.zeros(FILTERS, f32), rng.normal(0, 0.1, 2 * FILTERS).astype(f32), 0.0)
@@ -121,7 +139,7 @@ def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
         net.base = 0.0 if not samples else 2.0 * (2 * samples[0][1] - 1)
         return net
     net.train = True
-    parts = [chunks_of((t or "").encode()) for t, _ in samples]
+    parts = [chunks for chunks, _ in samples]
     ys = np.array([y for _, y in samples], f32)
     weight = np.where(ys == 1, 0.5 / ys.mean(), 0.5 / (1 - ys.mean())) ** 0.5  # halfway to balanced classes
     params = [net.embed, net.filters, net.bias, net.out, np.zeros(1, f32)]
@@ -147,13 +165,22 @@ def fit(samples: list[tuple[str | None, int]], seed: int = 5) -> Net:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Net:
-    """Fit on about ``train_docs`` rows of ``docs`` that ``labels`` marks; the sample of labels has at most twice as many rows and is broadcast."""
+    """Fit on about ``train_docs`` rows of ``docs`` that ``labels`` marks; the sample of labels has at most twice as many rows and is
+    broadcast, and chunks of at most twice as many texts again reach the driver."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     share = min(1.0, train_docs / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     marks = marks.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).limit(2 * train_docs)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "id").limit(4 * train_docs)
-    return fit([(r.t, r.y) for r in sorted(sample.collect(), key=lambda r: (r.id, r.t or ""))])
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "id").select(F.col("id").cast("string").alias("id"), "y", "t").limit(4 * train_docs)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("quality")
+        for batch in slices(batches, "t"):
+            chunks = [training_chunks(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.binary())], ["id", "y", "chunks"])
+
+    cuts = sorted(sample.mapInArrow(resting(cut), "id string, y int, chunks binary").collect(), key=lambda r: (r.id, bytes(r.chunks)))
+    return fit_chunks([(np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK), r.y) for r in cuts])
 
 
 def predict(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
