@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and one equi-join on the node, so nothing but row counts reaches the driver, and the
-lineage is cut by a written table after every round. A node with very many links is combined before the shuffle
-(minimum) and split by adaptive execution (join of two plain exchanges).
+lineage is cut by a written table after every step. A node with very many links is combined before the shuffle
+(minimum), and the minima are written, so that the join is one of two plain exchanges, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -15,19 +15,21 @@ from kelpline.llm.common import carries, discard, written
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Large star: a node's larger neighbours go to the smallest of the node and its neighbours. Small star: its smaller
-    neighbours and itself do."""
+    neighbours and itself do. The result is written."""
     if large:
         near = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    least = least.select(F.col("a").alias("node"), "m")
+    least = written(least.select(F.col("a").alias("node"), "m"), "least")
     joined = near.join(least, near["a"] == least["node"])
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-    return moved.where("a <> b").distinct()
+    out = written(moved.where("a <> b").distinct(), "links")
+    discard(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         # stable when every node has one smaller neighbour and no node is both a child and a parent
-        after = written(_star(_star(links, True), False), "links")
+        half = _star(links, True)
+        after = _star(half, False)
+        discard(half)
         stable = after.count() == links.count() and after.exceptAll(links).isEmpty()
         discard(links)
         if stable:

@@ -167,16 +167,19 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(elements)), list(map(len, elements))))), pa.array(np.concatenate(elements))], ["c", "e"])
 
     held = sets.join(members.select("c"), "c", "left_semi").mapInArrow(resting(run), "c long, e long")
-    often = held.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    # aggregates that are joined with what they count are written: beside an aggregate a join isn't split where it is skewed
+    often = written(held.groupBy("e").agg(F.count("*").alias("often")).where("often > 1"), "often")
     kept = held.join(often, "e").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("known"))
     first = members.join(kept, "c").withColumn("alone", F.col("n") - F.size("known"))
     width = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - alone as int)")
     first = first.where(width > 0).select("c", "n", "comp", "alone", F.posexplode(F.slice("known", F.lit(1), width)).alias("at", "x"))
     first = written(first.select("c", "n", "comp", (F.col("alone") + F.col("at")).alias("at"), F.col("x.e").alias("e")), "prefixes")
+    discard(often)
     by_class = first.groupBy("e", "comp").agg(F.count("*").alias("k"))
     main = by_class.groupBy("e").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("rows"), F.count("*").alias("classes")).where("classes > 1")
     main = main.select("e", F.col("x.comp").alias("main"), F.expr(f"cast((rows + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
-    first = first.join(written(main, "main"), "e")  # written, so that the join has no aggregate beside it and is split where skewed
+    main, prefixes = written(main, "main"), first
+    first = prefixes.join(main, "e")
     left = first.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("e", "block", *[F.col(k).alias(f"{k}1") for k in ("c", "n", "comp", "at")])
     right = first.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
@@ -184,7 +187,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     reach = f"{100 + percent} * least(n1 - at1, n2 - at2) >= {percent} * (n1 + n2)"
     found = left.join(right, ["e", "block"]).where("comp1 <> comp2 and (not minor or c1 < c2)").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) and {reach}")
     found = written(found.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "rest")
-    discard(first)
+    discard(prefixes, main)
     return found
 
 
@@ -199,8 +202,10 @@ def _clustered(docs: DataFrame, words: int, percent: int, bands: int, rows: int,
     classes = named.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "bands")).alias("x")).select("key", "x.*")
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("c", "n", F.explode("bands").alias("hash"))  # the hash holds the band's number
-    sizes = buckets.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1")
+    # sizes, pivots and mixed buckets are written, so that the joins with the rows of a hot bucket are split
+    sizes = written(buckets.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = written(buckets.join(sizes, "hash").select("hash", "c", "n", "size"), "shared")
+    discard(sizes)
     wanted = written(classes.select("c", "id", "key").join(shared.select("c").distinct(), "c", "left_semi"), "wanted")
     sets = written(_sets(docs, wanted, words), "sets")
     links = classes.sparkSession.createDataFrame([], "a long, b long")
@@ -218,15 +223,16 @@ def _clustered(docs: DataFrame, words: int, percent: int, bands: int, rows: int,
     # the member that stands in the most and largest buckets is nearest to the others; all buckets take it, so pairs repeat
     degree = shared.groupBy("c").agg(F.sum("size").alias("degree"))
     pick = F.max(F.struct("degree", (-F.col("c")).alias("order"), "c", "n")).alias("x")
-    pivots = shared.join(degree, "c").groupBy("hash").agg(pick).select("hash", F.col("x.c").alias("pivot"), F.col("x.n").alias("pivot_n"))
+    pivots = written(shared.join(degree, "c").groupBy("hash").agg(pick).select("hash", F.col("x.c").alias("pivot"), F.col("x.n").alias("pivot_n")), "pivots")
     rays = written(shared.join(pivots, "hash").where("c <> pivot"), "rays")
+    discard(pivots)
     near = rays.where(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
     links = grown(links, written(near.select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct(), "pairs"))
     found = components(links)
     placed = written(rays.select("hash", "c", "n").join(found, F.col("c") == F.col("node"), "left").select("hash", "c", "n", F.coalesce("component", "c").alias("comp")), "placed")
-    mixed = placed.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash")
+    mixed = written(placed.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash"), "mixed")
     members = written(placed.join(mixed, "hash").select("c", "n", "comp").distinct(), "members")
-    discard(shared, rays, placed)
+    discard(shared, rays, placed, mixed)
     if not members.isEmpty():
         discard(found)
         links = grown(links, _prefix_pairs(members, sets, percent))

@@ -216,6 +216,8 @@ def test_components_of_paths_stars_and_loops(spark):
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 199: 199, 200: 199}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = components.components(spark.range(1, 100_001).selectExpr("id as a", "if(id % 3 = 0, id - 1, 77) as b"))
+    assert hub.count() == 100_000 and hub.where("component <> 1").isEmpty()
 
 
 def test_embedding_links_equal_brute_force(spark):
@@ -590,6 +592,20 @@ def test_quality_gradient_held_out_accuracy_and_edges(spark):
     assert quality.fit([]).score(["x", None]) == [0.5, 0.5]
 
 
+def test_training_gets_bounded_chunks_of_whole_texts(spark):
+    long = "".join(chr(97 + i % 26) * 200 for i in range(2000))
+    cut = quality.training_chunks(long)
+    assert cut.shape == (quality.TRAIN_POOL, quality.CHUNK) and (cut == quality.training_chunks(long)).all()
+    every = {c.tobytes() for c in quality.chunks_of(long.encode())}
+    assert all(c.tobytes() in every for c in cut)
+    assert (quality.training_chunks("short") == quality.chunks_of(b"short")).all() and quality.training_chunks(None).shape == (1, quality.CHUNK)
+    texts = [(i, ("clean words here " if i % 2 else "### $$$ ") * (1 + i % 7 * 900)) for i in range(40)] + [(40, None), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2, "t") for i in range(42)], "doc_id long, quality int, text string")  # a clashing column
+    net = quality.train(frame(spark, texts), labels)
+    assert [s > 0.5 for s in net.score(["clean words here " * 9, "### $$$ " * 9])] == [True, False]
+    assert quality.train(frame(spark, []), labels).score(["x"]) == [0.5]
+
+
 def test_network_equals_plain_loops_and_numeric_gradients():
     net = quality.fit([("clean words here " * 60, 1), ("### $$$ ### " * 70, 0)] * 4)
     for text in ("", "short", "words and ### " * 120):
