@@ -52,11 +52,11 @@ def continued_references(stored: DataFrame, events: DataFrame) -> DataFrame:
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("has_answer", "boolean"), ("comment", "string"), ("confidence", "double"))]
     mapped = lambda h: F.struct(F.coalesce(h["file_id"], F.lit("")).alias("file_id"), F.nullif(h["chunk_id"], F.lit("")).alias("chunk_id"), F.coalesce(h["score"], F.lit(0.0)).alias("score"), h["snippet"].alias("snippet"), h["metadata"]["index"].alias("index"), *none)
     known = F.transform(F.array_sort(F.coalesce("references", F.array().cast(REFERENCES))), lambda r: F.struct(*(r[f].alias(f) for f in fields)))
-    start = stored.select("session", F.lit(None).cast("long").alias("seq"), F.when(F.col("is_multi"), "multi_path_start").otherwise("stored").alias("type"), known.alias("hits"))
+    start = stored.select("session", F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), F.when(F.col("is_multi"), "multi_path_start").otherwise("stored").alias("type"), known.alias("hits"))
     kind = F.col("type")
     lists = F.from_json(F.when(kind == "hits", F.col("data")).when(kind == "subquery_hits", F.get_json_object("data", "$.hits")), HIT)
     found = events.where(kind.isin("multi_path_start", "hits", "subquery_hits")).join(stored.select("session"), "session", "left_semi")
-    rows = start.unionByName(found.select("session", F.col("seq").cast("long").alias("seq"), "type", F.transform(F.coalesce(lists, F.array().cast(HIT)), mapped).alias("hits")))
+    rows = start.unionByName(found.select("session", "seq", "type", F.transform(F.coalesce(lists, F.array().cast(HIT)), mapped).alias("hits")))
     w = Window.partitionBy("session").orderBy(F.asc_nulls_first("seq"))
     rows = rows.withColumn("multi", F.max((kind == "multi_path_start").cast("int")).over(w))
     rows = rows.withColumn("era", F.sum(((kind == "hits") & (F.col("multi") == 0)).cast("int")).over(w)).withColumn("last_era", F.max("era").over(Window.partitionBy("session"))).where("era = last_era")
