@@ -84,7 +84,8 @@ def asset_sizes(assets: DataFrame, audio: bool = False) -> DataFrame:
 
 
 def folder_queue(folders: DataFrame, items: DataFrame) -> DataFrame:
-    """(folder_id, processing, pending, queued, first_processing) of every folder; items have (folder_id, seq, path, status)."""
+    """(folder_id, processing, pending, queued, first_processing) of every folder; items have (folder_id, seq, path, status). The first
+    item is that of the smallest ``seq``, and of the smallest path among those."""
     first = F.min(F.when(F.col("status") == "processing", F.struct("seq", "path")))["path"]
     sums = items.groupBy("folder_id").agg(F.count_if(F.col("status") == "processing").alias("processing"), F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("queued"), first.alias("first_processing"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("processing", "pending", "queued")]

@@ -106,7 +106,7 @@ def pending_outside_tree(spark, sf_dir):
     return overview.not_in_tree(_made(spark, sf_dir, _QUEUE, "lineitem"), files).select("folder_id", "seq", "path", "status")
 
 
-@query(f"select s_suppkey as folder_id, count(*) filter (where status = 'processing') as processing, count(*) filter (where status = 'pending') as pending, count(path) as queued, arg_min(path, seq) filter (where status = 'processing') as first_processing from supplier left join ({_QUEUE}) q on q.folder_id = s_suppkey group by 1")
+@query(f"select s_suppkey as folder_id, count(*) filter (where status = 'processing') as processing, count(*) filter (where status = 'pending') as pending, count(path) as queued, arg_min(path, (seq, path)) filter (where status = 'processing') as first_processing from (select distinct s_suppkey from supplier) left join ({_QUEUE}) q on q.folder_id = s_suppkey group by 1")
 def folder_queue(spark, sf_dir):
     return overview.folder_queue(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("folder_id")), _made(spark, sf_dir, _QUEUE, "lineitem"))
 
