@@ -1,8 +1,10 @@
 """What queries must also do on tables larger than the test data: large keys, ties, spread work."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from kelpline.operators import index, listing
 from kelpline.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import TABLES, compare
 
@@ -35,3 +37,23 @@ def test_the_first_item_of_a_queue_leaves_no_tie(spark, tmp_path):
         rows = f"from '{SF}/{name}.parquet'"
         duckdb.sql(f"copy (select * {'replace (l_orderkey // 50 as l_orderkey, 3 as l_linenumber)' if name == 'lineitem' else ''} {rows} {f'union all select * {rows}' if name == 'supplier' else ''}) to '{tmp_path}/{name}.parquet'")
     assert compare(QUERIES["folder_queue"](spark, str(tmp_path)), ORACLE_SQL["folder_queue"], str(tmp_path)) == ""
+
+
+def test_nearest_rows_copy_neither_rows_nor_queries(spark):
+    """Ties by key, vectors of two lengths, no vector without numbers, queries in several groups; queries are in no shuffle."""
+    pick = np.random.default_rng(5)
+    made = [(f"k{n:03}", [float(x) for x in pick.integers(-2, 3, 3 if n % 5 else 2)]) for n in range(300)]
+    made += [("none", None), ("hole", [1.0, None, 2.0]), ("zero", [0.0, 0.0, 0.0]), ("void", [])]
+    rows = spark.createDataFrame(made, "id string, v array<double>")
+    asks = rows.where("id like '%5' or id = 'zero'")
+    held = {k: np.array(v) for k, v in made if v and None not in v and any(v)}
+    want = []
+    for query in sorted(k for k in held if k.endswith("5")):
+        q = held[query]
+        near = sorted((-round(float(v @ q) / float(np.sqrt(v @ v) * np.sqrt(q @ q)), 9), k) for k, v in held.items() if k != query and len(v) == len(q))
+        want += [(query, k, s, place) for place, (s, k) in enumerate(near[:7], 1)]
+    for options in ({}, {"slot_rows": 20, "values": 30}):
+        found = listing.nearest_rows(rows, asks, "id", "v", 7, **options)
+        assert [(r.query, r.id, -r.score, r.rank) for r in found.orderBy("query", "rank").collect()] == want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert listing.nearest_rows(rows, asks.limit(0), "id", "v", 7).count() == 0
