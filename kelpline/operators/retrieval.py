@@ -70,15 +70,31 @@ def file_chunks(hits: DataFrame, file: str = "file_id") -> DataFrame:
     return hits.groupBy(file).agg(F.max("score").alias("best"), ordered.alias("chunks"))
 
 
-def judge(hits: DataFrame, judgements: DataFrame, keys: list[str]) -> DataFrame:
+#: Rows of a part, where parts are counted.
+PART_ROWS = 200_000
+
+
+def parts_of(rows: DataFrame) -> int:
+    """Into how many parts ``rows`` are dealt so that a task's memory doesn't grow with them: of ``PART_ROWS`` at most, and one
+    for each core."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``rows`` in ``parts`` by ``keys``; without a number the session's settings hold, whose parts grow with the rows."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
+def judge(hits: DataFrame, judgements: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Hits (keys, position, chunk_id, has_answer, comment, confidence) with judgements (keys, index, chunk_id, has_answer,
     comment, confidence, seq): a judgement of the chunk comes first, else the one at the hit's place; the first of several
-    wins; hits that are judged already stay as they are. ``keys`` name the session."""
+    wins; hits that are judged already stay as they are. ``keys`` name the session; both joins are in ``parts``."""
     value = F.struct("has_answer", "comment", "confidence")
     first = lambda by: F.min_by(value, F.struct("seq", "index"))
-    by_chunk = judgements.where("chunk_id is not null and chunk_id <> ''").groupBy(*keys, "chunk_id").agg(first(0).alias("_c"))
-    by_place = judgements.where("index is not null").groupBy(*keys, F.col("index").cast("long").alias("position")).agg(first(0).alias("_p"))
-    joined = hits.join(by_chunk, [*keys, "chunk_id"], "left").join(by_place, [*keys, "position"], "left")
+    by_chunk = dealt(judgements.where("chunk_id is not null and chunk_id <> ''"), parts, *keys, "chunk_id").groupBy(*keys, "chunk_id").agg(first(0).alias("_c"))
+    by_place = dealt(judgements.where("index is not null").withColumn("position", F.col("index").cast("long")), parts, *keys, "position").groupBy(*keys, "position").agg(first(0).alias("_p"))
+    joined = dealt(hits, parts, *keys, "chunk_id").join(by_chunk, [*keys, "chunk_id"], "left")
+    joined = dealt(joined, parts, *keys, "position").join(by_place, [*keys, "position"], "left")
     new = F.coalesce("_c", "_p")
     pick = lambda c: F.when(F.col("has_answer").isNotNull() | new.isNull(), F.col(c)).otherwise(new[c])
     return joined.withColumns({"comment": pick("comment"), "confidence": pick("confidence"), "has_answer": pick("has_answer")}).drop("_c", "_p")

@@ -1,10 +1,12 @@
 """What queries must also do on tables larger than the test data: large keys, ties, spread work."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
 
-from kelpline.operators import index, listing, texts
+from kelpline.operators import index, listing, retrieval, texts
 from kelpline.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import TABLES, compare
 
@@ -123,3 +125,11 @@ def test_substrings_are_found_without_a_shuffle_of_their_runs(spark):
     for options in ({}, {"entries": 20, "rarest": 1}):
         assert sorted(map(tuple, texts.substring_matches(docs, asked, "id", "text", **options).collect())) == want
     assert texts.substring_matches(docs, asked.limit(0), "id", "text").count() == 0
+
+
+def test_parts_of_references_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART_ROWS", 300)
+    df = QUERIES["qa_references"](spark, SF)
+    parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300)
+    assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())) == {str(parts)}
+    assert compare(df, ORACLE_SQL["qa_references"], SF) == ""
