@@ -23,11 +23,11 @@ import functools
 import gc
 import heapq
 import itertools
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +85,38 @@ class Trie:
             node[1] = Leaf()
         return node[1]
 
+    def leaves(self, terms: Iterable[bytes]) -> Iterator[Leaf]:
+        """The leaves of terms that come in order: each descent begins where the one before was last on its way."""
+        path = [(b"", self.root)]
+        for term in terms:
+            while not term.startswith(path[-1][0]):
+                path.pop()
+            before, node = path[-1]
+            at, size = len(before), len(term)
+            while at < size:
+                children = node[2]
+                if children is None:
+                    children = node[2] = {}
+                child = children.get(term[at])
+                if child is None:
+                    children[term[at]] = node = [term[at:], None, None]
+                    path.append((term, node))
+                    break
+                edge = child[0]
+                if term.startswith(edge, at):
+                    at += len(edge)
+                else:
+                    same = 1
+                    while same < len(edge) and at + same < size and edge[same] == term[at + same]:
+                        same += 1
+                    child[:] = [edge[:same], None, {edge[same]: [edge[same:], child[1], child[2]]}]
+                    at += same
+                node = child
+                path.append((term[:at], node))
+            if node[1] is None:
+                node[1] = Leaf()
+            yield node[1]
+
     def merge(self, other: Trie) -> None:
         for term, leaf in other.walk():
             own = self.leaf(term)
@@ -104,29 +136,53 @@ class Trie:
                 stack.extend([(term, children[c]) for c in (sorted(children, reverse=True) if len(children) > 1 else children)])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
 def counted(rows: Iterable[tuple[str, str, bytes]], tries: dict[str, Trie]) -> int:
     """Count the terms of (lang, source, text) rows in tries by language; gives the number of counters that it set. The leaf of
     the empty term, at a root, lists a language's sources."""
-    occurrences: dict[str, dict[str, Counter]] = {}
-    documents: dict[str, Counter] = {}
-    for lang, source, text in rows:
-        terms = text.translate(_TERMS).split()
-        occurrences.setdefault(lang, {}).setdefault(source, Counter({b"": 0})).update(terms)
-        documents.setdefault(lang, Counter({b"": 0})).update(set(terms))
-    counters = 0
-    for lang, found in documents.items():
-        trie = tries.setdefault(lang, Trie())
-        leaves: dict[bytes, dict[str, int]] = {}
-        for term, n in found.items():
-            leaf = trie.leaf(term)
-            leaf.documents += n
-            leaves[term] = leaf.occurrences
-        for source, counts in occurrences[lang].items():
-            counters += len(counts)
-            for term, n in counts.items():
-                leaf = leaves[term]
-                leaf[source] = leaf.get(source, 0) + n
-    return counters
+    rows = list(rows)
+    if not rows:
+        return 0
+    langs, sources, texts = zip(*rows, strict=True)
+    groups = {g: k for k, g in enumerate(dict.fromkeys(zip(langs, sources, strict=True)))}
+    places = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+    names, of_lang = list(groups), [tries.setdefault(lang, Trie()) for lang in places]
+    group = np.fromiter(map(groups.get, zip(langs, sources, strict=True)), np.int64, len(texts))
+    lang = np.array([places[lang] for lang, _ in names], np.int64)
+    # a space before it: each text has the empty term, and its group a counter of it, which stays 0
+    found = pc.split_pattern(pa.array([b" " + t.translate(_TERMS) for t in texts], pa.large_binary()), b" ")
+    row = np.repeat(np.arange(len(texts)), np.diff(found.offsets.to_numpy()))
+    coded = found.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place_of = np.empty(len(order), np.int64)
+    place_of[order.to_numpy()] = np.arange(len(order))
+    terms, code = coded.dictionary.take(order).to_pylist(), place_of[coded.indices.to_numpy()]
+    del found, coded
+    keys, occurrences = _distinct(group[row] * len(terms) + code)
+    held, _ = _distinct(row * len(terms) + code)
+    in_langs, documents = _distinct(lang[group[held // len(terms)]] * len(terms) + held % len(terms))
+    del row, code, held
+    occurrences[keys % len(terms) == 0], documents[in_langs % len(terms) == 0] = 0, 0  # the empty term is the first
+    by_term = np.argsort(lang[keys // len(terms)] * len(terms) + keys % len(terms), kind="stable")  # groups of a term side by side
+    of, numbers = [names[g][1] for g in (keys[by_term] // len(terms)).tolist()], occurrences[by_term].tolist()
+    ends = np.cumsum(_distinct(lang[keys // len(terms)] * len(terms) + keys % len(terms))[1]).tolist()
+    parts = np.searchsorted(in_langs, np.arange(len(of_lang) + 1) * len(terms))
+    leaves = (of_lang[p].leaves(map(terms.__getitem__, (in_langs[parts[p] : parts[p + 1]] - p * len(terms)).tolist())) for p in range(len(of_lang)))
+    start = 0
+    for leaf, n, stop in zip(itertools.chain.from_iterable(leaves), documents.tolist(), ends, strict=True):
+        leaf.documents += n
+        own = leaf.occurrences
+        for source, k in zip(of[start:stop], numbers[start:stop], strict=True):
+            own[source] = own.get(source, 0) + k
+        start = stop
+    pa.default_memory_pool().release_unused()
+    return len(keys)
 
 
 _COUNTS = "lang string, term string, documents long, sources array<string>, occurrences array<long>"
@@ -170,7 +226,7 @@ def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator
     """Leaves of the tries of (lang, source, text) batches."""
     held: dict[str, Trie] = {}
     counters = 0
-    for batch in slices(batches, "text", 32 << 20):
+    for batch in slices(batches, "text", 16 << 20):
         counters += counted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True), held)
         if counters >= most:
             yield from _leaves(held)
@@ -178,6 +234,18 @@ def count_terms(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator
     yield from _leaves(held)
 
 
+def _without_rare(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """The batch without the terms that begin and end in it and are in fewer than ``least`` documents."""
+    if batch.num_rows < 3:
+        return batch
+    lang, term = batch.column(0), batch.column(1)
+    new = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.append(True, new))
+    stays = (np.add.reduceat(batch.column(2).to_numpy(), starts) >= least) | pc.equal(term.take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
+    stays[0] = stays[-1] = True
+    return batch.filter(pa.array(np.repeat(stays, np.diff(np.append(starts, batch.num_rows)))))
+
+
 @without_cycles
 def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Merge leaves that come in order of (lang, term) and keep terms in at least ``least`` documents of their language. The
@@ -207,6 +275,7 @@ def merge_terms(batches: Iterator[pa.RecordBatch], least: int, most: int = MOST)
             yield pa.RecordBatch.from_arrays(columns, ["lang", "segment", "term", "source", "occurrences"])
 
     for batch in batches:
+        batch = _without_rare(batch, least)
         lists = batch.column(3)
         ends, sources, counts = lists.offsets.to_pylist(), lists.values.to_pylist(), batch.column(4).values.to_pylist()
         rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), ends, ends[1:], strict=False)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,19 @@ def test_cut_places_do_not_depend_on_what_a_worker_remembers():
         assert ends.tolist() == same.tolist() and sums.tolist() == as_before.tolist()
     assert first[0][0].tolist() == [3, *first[0][0].tolist()[1:]] and len(first[0][0]) == 3
     assert len(first[4][0]) == 2 and (first[8][0] < 0).sum() == 10
+
+
+def test_rare_terms_of_a_batch_are_dropped_before_they_are_merged():
+    """Only terms that begin and end in the batch; the empty term and those of enough documents stay."""
+    terms = ["a", "", "b", "b", "c", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "y", "y", "y", "y"]), pa.array(terms), pa.array([1, 0, 1, 2, 2, 1])], ["lang", "term", "documents"])
+    assert divergence._without_rare(batch, 3).column(1).to_pylist() == ["a", "", "b", "b", "d"]
+
+
+def test_leaves_of_sorted_terms_are_those_of_single_descents():
+    one, other = divergence.Trie(), divergence.Trie()
+    for terms in ([b"", b"a", b"abc", b"abd", b"b"], [b"ab", b"abcd", b"ax", b"b", b"\xc3\xa9"]):
+        for term, leaf in zip(terms, one.leaves(terms), strict=True):
+            leaf.documents += 1
+            other.leaf(term).documents += 1
+    assert [(t, x.documents) for t, x in one.walk()] == [(t, x.documents) for t, x in other.walk()]
